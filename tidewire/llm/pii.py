@@ -1,0 +1,362 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word-shape features.
+
+The field is trained by gradient ascent on its log-likelihood from a small labelled table, and decoded by Viterbi over
+numpy batches of word sequences. Words without digits, '@' or '+' whose neighbours have none either are `O` on every
+best path as long as their lead in score exceeds what all transitions could win back, which is tested when the field is
+trained. So a text's chain falls apart, exactly, into the stretches around all other words, and only those are decoded;
+were the test to fail, whole texts would be.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The kinds that patterns find, in order, and those that only the field finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "id", "secret")
+# The patterns. Look-behinds only spare starts that cannot match otherwise than the start of their run.
+_EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_EMAIL_UNION = re.compile(r"[A-Za-z0-9._%+@-]*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+# The labelled table: a sentence a row; `|tag` after a word that is personal data (tags are KINDS; O is not written).
+LABELLED = """
+please call me at (555)|phone 123-4567|phone after noon
+my number is 555-867-5309|phone thanks
+ring 555.010.2244|phone or write
+office: (020)|phone 7946-0123|phone , ask for help
+tel 415-555-0132|phone today
+phone (212)|phone 555-0198|phone .
+call +1|phone (663)|phone 555-6869|phone now
+dial +49|phone 30|phone 901820|phone for this
+reach us: +44|phone 20|phone 7946|phone 0958|phone or later
+write to ana.li@mail.example.org|email about it
+contact bob_77@example.com|email today
+mail joe@host.example|email soon
+the host 10.2.33.4|ip answered
+from 192.168.0.12|ip to 192.168.0.1|ip again
+server 8.8.4.4|ip is up
+paid with 4111|card 1111|card 1111|card 1111|card yesterday
+card 5500-0000-0000-0004|card was used
+number 4012888888881881|card on file
+ssn 078-05-1120|id was given
+social 219-09-9999|id here
+his id 457-55-5462|id is old
+token = "3f786850e387550fdab836ed7e6dc881de23001b"|secret end
+key: 89e6c98d92887913cadf06b2adb97f26cde4849b|secret is set
+password = da39a3ee5e6b4b0d3255bfef95601890afd80709|secret .
+token = "2b66fd261ee5c6cfc8de7fa466bab600bcfe4f69"|secret here
+in 1999 there were 12 of them
+version 2.0 of the license , 2004
+on 2024-01-15 at 10:30 we met
+chapter 3. has 45 pages and 7 figures
+about 12,500 people and 3.5 percent
+room 101 , floor 3 , house 22b
+section 4.1.2 and 5.6
+he won 21-14 and lost 3-2
+the price is 1,299.00 or 99
+isbn 978-0-306-40615-7 is a book
+order 20240115001 shipped in 3 days
+call it 7 days or 100 hours
+from 1914-1918 it lasted
+a b2b firm with 4 x4 cars
+see 10.1000/182 for more
+the year 2020 and 2021 , 50% more
+the quick brown fox and a lazy dog walked home
+we wrote to them and then called the office
+my card and your number are in the room
+ask the server for a token or a key
+she gave the phone to us , and the mail came
+"""
+_TAGS = ("O", *KINDS)
+_HOT = re.compile(r"[0-9@+]")
+_SPACES = "\t\n\x0b\x0c\r "
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points, by kind and start; leftmost, non-overlapping within a kind."""
+    found = []
+    at, done = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _EMAIL_DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append(("email", start, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+    if not _DIGIT.search(text):
+        return found
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            found.append(("ip", m.start(), m.end()))
+    for m in _CARD.finditer(text):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if 16 <= len(digits) <= 19 and _luhn(digits):
+            found.append(("card", m.start(), m.end()))
+    for m in _PHONE.finditer(text):
+        if 8 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
+            found.append(("phone", m.start(), m.end()))
+    return found
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def plausible(kind: str, span: str) -> bool:
+    """What a span of the field must hold besides: a card 16 to 19 digits that pass Luhn, a phone 7 to 15 digits."""
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and _luhn(digits)
+    return kind != "phone" or 7 <= len(digits) <= 15
+
+
+def shape(word: str) -> tuple[str, ...]:
+    """Features of one word: its shape with runs collapsed, and what digits and marks it has; all plain words have one."""
+    if not _HOT.search(word):
+        return ("plain",)
+    core = word.strip("\"'.,;:!?*#$%&|<>[]{}=")
+    digits = sum("0" <= c <= "9" for c in core)
+    letters = sum(c.isalpha() for c in core)
+    hexes = sum(c in "0123456789abcdefABCDEF" for c in core)
+    runs = re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 5)}", re.sub(r"[^\W\d_]+", "a", core[:64]))
+    size = next(n for n, most in enumerate((0, 2, 4, 8, 15, 19, 31, 10**9)) if digits <= most)
+    made = [f"digits{size}", f"letters{min(letters, 1)}"]
+    made.append("hex" if len(core) >= 32 and hexes == len(core) else "email" if "@" in core[1:-1] else "shape" + (runs if len(runs) <= 16 else "long"))
+    return tuple(made)
+
+
+class Crf:
+    """Scores: for each tag, sums of weights of the features of a word, of the word before and of the word after, plus transitions."""
+
+    def __init__(self, rows: list[tuple[list[str], list[str]]], steps: int = 200, rate: float = 0.5, decay: float = 0.0005):
+        names = sorted({f for words, _ in rows for w in words for f in shape(w)} - {"plain"})
+        self.feature = {f: i + 2 for i, f in enumerate(names)}  # 0: plain, 1: unknown
+        self.feature["plain"] = 0
+        k, n = len(_TAGS), len(self.feature) + 1
+        self.w, self.a = np.zeros((3, n, k)), np.zeros((k + 1, k))  # the last row of a: from the start
+        data = [([self.ids(w) for w in words], np.array([_TAGS.index(t) for t in tags])) for words, tags in rows]
+        speed_w, speed_a = np.zeros_like(self.w), np.zeros_like(self.a)
+        for _ in range(steps):
+            grad_w, grad_a = -decay * self.w * len(data), -decay * self.a * len(data)
+            for ids, tags in data:
+                node, edge = self._marginals(self.emissions(ids))
+                node, edge = -node, -edge
+                node[np.arange(len(tags)), tags] += 1
+                edge[0, -1, tags[0]] += 1
+                edge[np.arange(1, len(tags)), tags[:-1], tags[1:]] += 1
+                grad_a += edge.sum(0)
+                for i, own in enumerate(ids):
+                    for slot, j in ((0, i), (1, i + 1), (2, i - 1)):  # a word is its own, its next one's and its last one's context
+                        if 0 <= j < len(ids):
+                            for f in own:
+                                grad_w[slot, f] += node[j]
+            speed_w, speed_a = 0.9 * speed_w + grad_w, 0.9 * speed_a + grad_a
+            self.w += rate / len(data) * speed_w
+            self.a = np.clip(self.a + rate / len(data) * speed_a, -1, 1)
+        self.w[:, 1] = 0
+        # what tag y between any two tags may gain over O from transitions, against what a plain word among plain words loses
+        gain = (self.a[:, 1:] - self.a[:, :1]).max(0) + (self.a[1:-1] - self.a[:1]).max(1)
+        leads = self.w[:, 0, :1] - self.w[:, 0, 1:]
+        self.splits = all((leads[list(slots)].sum(0) > gain + 1e-6).all() for slots in ((0,), (0, 1), (0, 2), (0, 1, 2)))  # at a text's ends, too
+
+    def ids(self, word: str) -> list[int]:
+        return [self.feature.get(f, 1) for f in shape(word)]
+
+    def emissions(self, ids: list[list[int]]) -> np.ndarray:
+        own = np.array([[self.w[s, f].sum(0) for s in range(3)] for f in ids])  # (n, 3, K)
+        out = own[:, 0].copy()
+        out[1:] += own[:-1, 1]
+        out[:-1] += own[1:, 2]
+        return out
+
+    def _marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of tags (n, K) and of pairs (n, K + 1, K), by forward and backward sums."""
+        n, k = e.shape
+        forward, backward = np.empty((n, k)), np.zeros((n, k))
+        forward[0] = self.a[-1] + e[0]
+        for i in range(1, n):
+            forward[i] = e[i] + np.logaddexp.reduce(forward[i - 1][:, None] + self.a[:-1], 0)
+        for i in range(n - 2, -1, -1):
+            backward[i] = np.logaddexp.reduce(self.a[:-1] + (e[i + 1] + backward[i + 1])[None], 1)
+        total = np.logaddexp.reduce(forward[-1])
+        node = np.exp(forward + backward - total)
+        edge = np.zeros((n, k + 1, k))
+        edge[0, -1] = node[0]
+        if n > 1:
+            edge[1:, :-1] = np.exp(forward[:-1, :, None] + self.a[None, :-1] + (e[1:] + backward[1:])[:, None] - total)
+        return node, edge
+
+    def viterbi(self, sequences: list[np.ndarray], first: list[bool]) -> list[np.ndarray]:
+        """Best tags of many emission matrices (n, K) at once; a sequence that is not a text's first starts after an O."""
+        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
+        a = 0
+        while a < len(order):
+            longest, b = len(sequences[order[a]]), a
+            while b < len(order) and len(sequences[order[b]]) <= max(8, 2 * longest) and b - a < 8192:
+                b += 1
+            part = order[a:b]
+            n = len(sequences[part[-1]])
+            e = np.zeros((len(part), n, len(_TAGS)))
+            for j, i in enumerate(part):
+                e[j, : len(sequences[i])] = sequences[i]
+            score = e[:, 0] + np.where(np.array([first[i] for i in part])[:, None], self.a[-1], self.a[0])
+            back, scores = np.zeros((n, *score.shape), np.int8), [score]
+            for t in range(1, n):
+                step = score[:, :, None] + self.a[None, :-1]
+                back[t] = step.argmax(1)
+                score = e[:, t] + step.max(1)
+                scores.append(score)
+            for j, i in enumerate(part):
+                m = len(sequences[i])
+                tags = np.zeros(m, int)
+                tags[-1] = scores[m - 1][j].argmax()
+                for t in range(m - 1, 0, -1):
+                    tags[t - 1] = back[t, j, tags[t]]
+                out[i] = tags
+            a = b
+        return out
+
+
+def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[str]]]:
+    rows = []
+    for line in table.strip().splitlines():
+        cells = [w.rpartition("|") if "|" in w else (w, "", "O") for w in line.split()]
+        rows.append(([c[0] for c in cells], [c[2] for c in cells]))
+    return rows
+
+
+@lru_cache(maxsize=1)
+def trained() -> Crf:
+    return Crf(labelled_rows())
+
+
+def _stretches(text: str, whole: bool) -> list[list[tuple[int, int]]]:
+    """Words (start, end) in stretches to decode: two words around each word with a digit, '@' or '+', or all words."""
+    if whole:
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        return [words] if words else []
+    out: list[list[tuple[int, int]]] = []
+    n, end = len(text), -1
+    for m in _HOT.finditer(text):
+        if m.start() < end:
+            continue
+        start = m.start()
+        while start and text[start - 1] not in _SPACES:
+            start -= 1
+        end = m.end()
+        while end < n and text[end] not in _SPACES:
+            end += 1
+        before, at = [], start
+        for _ in range(2):
+            while at and text[at - 1] in _SPACES:
+                at -= 1
+            stop = at
+            while at and text[at - 1] not in _SPACES:
+                at -= 1
+            if at == stop:
+                break
+            before.append((at, stop))
+        after, at = [], end
+        for _ in range(2):
+            while at < n and text[at] in _SPACES:
+                at += 1
+            begin = at
+            while at < n and text[at] not in _SPACES:
+                at += 1
+            if at == begin:
+                break
+            after.append((begin, at))
+        words = [*reversed(before), (start, end), *after]
+        if out and out[-1][-1][1] >= words[0][0]:
+            last = out[-1]
+            while last and last[-1][1] > start:
+                last.pop()
+            known = {w for w in last}
+            last.extend(w for w in words if w not in known and (not last or w[0] >= last[-1][1]))
+        else:
+            out.append(words)
+    return out
+
+
+def crf_spans(texts: list[str], crf: Crf | None = None) -> list[list[tuple[str, int, int]]]:
+    """Spans of the field for each text: runs of words with one tag, without the marks around them."""
+    crf = crf or trained()
+    owners, stretches = [], []
+    for i, text in enumerate(texts):
+        for words in _stretches(text, not crf.splits) if _HOT.search(text) or not crf.splits else []:
+            owners.append(i)
+            stretches.append(words)
+    emissions = [crf.emissions([crf.ids(texts[i][a:b]) for a, b in words]) for i, words in zip(owners, stretches)]
+    first = [not texts[i][: words[0][0]].strip(_SPACES) for i, words in zip(owners, stretches)]
+    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for i, words, tags in zip(owners, stretches, crf.viterbi(emissions, first)):
+        j = 0
+        while j < len(words):
+            k = j
+            while k + 1 < len(words) and tags[k + 1] == tags[j]:
+                k += 1
+            if tags[j]:
+                a, b = words[j][0], words[k][1]
+                raw = texts[i][a:b]
+                a += len(raw) - len(raw.lstrip("\"'.,;:!?*#$%&|<>[]{}="))
+                b -= len(raw) - len(raw.rstrip("\"'.,;:!?*#$%&|<>[]{}="))
+                if a < b:
+                    found[i].append((_TAGS[tags[j]], a, b))
+            j = k + 1
+    return found
+
+
+SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, spans (kind, start, end, base), by kind as listed, then start.
+
+    Spans of the field that are not plausible, or overlap a span of the patterns, are left out; pattern spans stay as they are. Null texts
+    count as empty. Repeated rows give repeated results, an empty table an empty one; other columns are ignored.
+    """
+
+    crf = trained()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {k: i for i, k in enumerate(KINDS)}
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            out = []
+            for text, more in zip(texts, crf_spans(texts, crf)):
+                base = base_spans(text)
+                free = [(k, a, e, False) for k, a, e in more if plausible(k, text[a:e]) and not any(a < y and x < e for _, x, y in base)]
+                spans = sorted([(k, a, e, True) for k, a, e in base] + free, key=lambda s: (kinds[s[0]], s[1]))
+                out.append([{"kind": k, "start": a, "end": e, "base": x} for k, a, e, x in spans])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """find() -> doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans (all, as kind:start:end)."""
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
