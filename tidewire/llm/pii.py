@@ -358,5 +358,6 @@ def digest(found: DataFrame) -> DataFrame:
     """find() -> doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans (all, as kind:start:end)."""
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
