@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, mixing, pii, sharding, warc
+from tidewire.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, mixing, ngram_join, pii, sharding, warc
 from tidewire.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sharding": op3_sharding,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_pii": op5_pii,
