@@ -59,20 +59,30 @@ def value(raw: Column, kind: str) -> Column:
     return lenient_timestamp(raw) if kind == "timestamp" else raw
 
 
-def parsed(raw_tsv: Column, dataset: str, least_columns: int) -> tuple[list[Column], Column]:
-    """(typed columns, error struct<code, message>): the first field in reading order that fails decides; null: no error."""
-    cells = F.split(raw_tsv, "\t", -1)
-    out, error = [], F.when(F.size(cells) < least_columns, _error("COLUMN_COUNT", F.concat(F.lit(f"{dataset} row has "), F.size(cells).cast("string"), F.lit(f" columns, {least_columns} are needed"))))
+def cells(raw_tsv: Column) -> Column:
+    return F.split(raw_tsv, "\t", -1)
+
+
+def typed(row: Column, dataset: str) -> dict[str, Column]:
+    """Of a column of cells: name -> struct(raw, value) of each field; a blank cell is null."""
+    out = {}
     for f in FIELDS[dataset]:
-        cell = F.get(cells, F.lit(f.column))
+        cell = F.get(row, F.lit(f.column))
         cell = F.when(~is_blank(cell), cell)
-        typed = value(cell, f.kind)
+        out[f.name] = F.struct(cell.alias("raw"), value(cell, f.kind).alias("value"))
+    return out
+
+
+def row_error(row: Column, dataset: str, least_columns: int, prefix: str) -> Column:
+    """error struct<code, message>, or null, from columns prefix + name of typed(): the first field in reading order that fails decides."""
+    error = F.when(F.size(row) < least_columns, _error("COLUMN_COUNT", F.concat(F.lit(f"{dataset} row has "), F.size(row).cast("string"), F.lit(f" columns, {least_columns} are needed"))))
+    for f in FIELDS[dataset]:
+        raw, v = F.col(f"{prefix}{f.name}.raw"), F.col(f"{prefix}{f.name}.value")
         if f.required:
-            error = error.when(cell.isNull(), _error("REQUIRED_FIELD", F.lit(f"{f.name} is required")))
+            error = error.when(raw.isNull(), _error("REQUIRED_FIELD", F.lit(f"{f.name} is required")))
         if f.kind != "text":
-            error = error.when(cell.isNotNull() & typed.isNull(), _error(CODES[f.kind], F.concat(F.lit(f"{f.name} is invalid: "), cell)))
-        out.append(typed.alias(f.name))
-    return out, error
+            error = error.when(raw.isNotNull() & v.isNull(), _error(CODES[f.kind], F.concat(F.lit(f"{f.name} is invalid: "), raw)))
+    return error
 
 
 def _error(code: str, message: Column) -> Column:

@@ -8,6 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_ENCODED = T.StructType().add("bytes", T.BinaryType()).add("hash", T.StringType()).add("norm", T.DoubleType()).add("error", T.StringType())
+_DECODED = T.StructType().add("vector", T.ArrayType(T.FloatType())).add("error", T.StringType())
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,7 +37,7 @@ def seconds_apart(a: Column, b: Column) -> Column:
     return F.floor(F.abs(F.unix_micros(a) - F.unix_micros(b)) / 1_000_000).cast("long")
 
 
-@F.pandas_udf("struct<bytes: binary, hash: string, norm: double, error: string>")
+@F.pandas_udf(_ENCODED)
 def encoded(vectors: pd.Series, dimension: pd.Series) -> pd.DataFrame:
     """Unit vector as big-endian float32, its SHA-256 and the norm before; or DIMENSION_MISMATCH, NON_FINITE_VECTOR, ZERO_NORM."""
     rows = []
@@ -46,7 +50,7 @@ def encoded(vectors: pd.Series, dimension: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bytes", "hash", "norm", "error"])
 
 
-@F.pandas_udf("struct<vector: array<float>, error: string>")
+@F.pandas_udf(_DECODED)
 def decoded(data: pd.Series, dimension: pd.Series, expected: pd.Series) -> pd.DataFrame:
     """Vector of stored bytes; or VECTOR_BYTE_LENGTH, VECTOR_HASH, NON_FINITE_VECTOR, ZERO_NORM."""
     rows = []

@@ -46,10 +46,12 @@ def _finish(rows: DataFrame, dataset: str) -> DataFrame:
 def stage(payloads: DataFrame, dataset: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """(typed rows, error rows): each payload becomes one or the other; an error row has the code of its first bad field."""
     _, least, _ = DATASETS[dataset]
-    typed, error = tsv.parsed(F.col("raw_tsv"), dataset, least)
     provenance = ["id", "import_file_id", "source_file", "source_timestamp", "row_number", "ingested_at"]
-    rows = payloads.select(*provenance, "raw_tsv", error.alias("_error"))
-    good = rows.where("_error IS NULL").select(*provenance, now.alias("parsed_at"), *typed, F.lit(None).cast("long").alias("article_id"))
+    rows = payloads.select(*provenance, tsv.cells(F.col("raw_tsv")).alias("_cells"))
+    rows = rows.withColumns({f"_t_{n}": c for n, c in tsv.typed(F.col("_cells"), dataset).items()})
+    rows = rows.withColumn("_error", tsv.row_error(F.col("_cells"), dataset, least, "_t_"))
+    fields = [F.col(f"_t_{f.name}.value").alias(f.name) for f in tsv.FIELDS[dataset]]
+    good = rows.where("_error IS NULL").select(*provenance, now.alias("parsed_at"), *fields, F.lit(None).cast("long").alias("article_id"))
     bad = rows.where("_error IS NOT NULL").select(
         F.lit(dataset).alias("dataset_type"), F.col("id").alias("source_row_id"), "import_file_id", "source_file", "source_timestamp", "row_number",
         F.lit("PARSE").alias("failed_step"), F.col("_error.code").alias("error_code"), F.col("_error.message").alias("error_message"), now.alias("occurred_at"), F.lit(None).cast("timestamp").alias("resolved_at"),

@@ -33,7 +33,7 @@ def evaluate(pairs: DataFrame, predictions: DataFrame, split: str) -> tuple[Data
     if missing:
         raise ValueError(f"no prediction for {', '.join(r['id'] for r in missing)}")
     metrics = confusion(j, F.col("label"), F.col("sameStory"))
-    found = j.where("label = 'SAME'").agg(_ratio(F.count_if("candidate"), F.count(F.lit(1))).alias("candidate_recall"))
+    found = j.where("label = 'SAME'").agg(_ratio(F.count_if(F.col("candidate")), F.count(F.lit(1))).alias("candidate_recall"))
     from tidewire.plans.clusters import connected
 
     nodes = own.select(F.explode(F.array("left", "right")).alias("ref")).distinct()

@@ -40,8 +40,9 @@ def scored_pairs(members: DataFrame, hours: int) -> DataFrame:
 def _block_scores(hours: int, threshold: float):
     width = hours * 3600 * 1_000_000
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(key, right: pd.DataFrame) -> pd.DataFrame:
+        left = right[right["home"]]
+        out: list[tuple[str, str]] = []
         if len(left) and len(right):
             y = np.stack(right["vector"].to_numpy()).astype(np.float64)
             y /= np.linalg.norm(y, axis=1, keepdims=True)
@@ -57,8 +58,8 @@ def _block_scores(hours: int, threshold: float):
                 i, j = np.nonzero(hit)
                 one = np.flatnonzero(c[np.arange(len(c)), best] > -2)
                 i, j = np.concatenate([i, one]), np.concatenate([j, best[one]])
-                out.append(pd.DataFrame({"ref": part["article_ref"].to_numpy()[i], "other": right["article_ref"].to_numpy()[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"ref": [], "other": []})
+                out += zip(part["article_ref"].to_numpy(object)[i], right["article_ref"].to_numpy(object)[j])
+        return pd.DataFrame({"ref": pd.Series([x for x, _ in out], dtype=object), "other": pd.Series([y for _, y in out], dtype=object)})
 
     return run
 
@@ -67,9 +68,10 @@ def preselected_pairs(members: DataFrame, hours: int, threshold: float) -> DataF
     """For large members: pairs that can decide anything (at or near the threshold, or a member's best in a block), found by
     blocked matrix products and to be scored again exactly: left_ref, right_ref."""
     width = hours * 3600 * 1_000_000
-    rows = members.select("article_ref", "vector", F.unix_micros("effective_at").alias("micros")).withColumn("bucket", F.floor(F.col("micros") / width).cast("long"))
-    right = rows.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
-    found = rows.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_block_scores(hours, threshold), "ref string, other string")
+    rows = members.select("article_ref", "vector", F.unix_micros("effective_at").alias("micros")).withColumn("_own", F.floor(F.col("micros") / width).cast("long"))
+    spread = rows.withColumn("_step", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
+    spread = spread.select((F.col("_own") + F.col("_step")).alias("bucket"), (F.col("_step") == 0).alias("home"), "article_ref", "vector", "micros")
+    found = spread.groupBy("bucket").applyInPandas(_block_scores(hours, threshold), "ref string, other string")
     return found.select(F.least("ref", "other").alias("left_ref"), F.greatest("ref", "other").alias("right_ref")).distinct()
 
 

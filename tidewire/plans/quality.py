@@ -106,7 +106,7 @@ def publication_quality(rows: DataFrame, ident: str, extras: str, document_date:
     raw = F.regexp_extract_all(F.coalesce(extras, F.lit("")), F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), 1)
     t = rows.select(F.col(ident).alias("_i"), raw.alias("_raw"), text.publication_time(F.col(extras), F.col(document_date), tag).alias("_at"))
     each = t.select("_i", F.size("_raw").alias("n"), F.size(F.array_distinct("_raw")).alias("d"), F.size(F.filter("_raw", lambda x: ~x.rlike("^[0-9]{14}$"))).alias("odd"), F.col("_at").isNotNull().alias("ok"))
-    return each.agg(F.count(F.lit(1)).alias("rows"), F.count_if("n > 0").alias("tagged"), F.count_if("odd > 0").alias("not_compact"), F.count_if("n > 0 AND odd = 0 AND NOT ok").alias("rejected"), F.count_if("ok").alias("accepted"), F.count_if("n > 1").alias("several"), F.count_if("d > 1").alias("conflicting"))
+    return each.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("n > 0")).alias("tagged"), F.count_if(F.expr("odd > 0")).alias("not_compact"), F.count_if(F.expr("n > 0 AND odd = 0 AND NOT ok")).alias("rejected"), F.count_if(F.expr("ok")).alias("accepted"), F.count_if(F.expr("n > 1")).alias("several"), F.count_if(F.expr("d > 1")).alias("conflicting"))
 
 
 def fingerprint(**tables: tuple[DataFrame, Column]) -> DataFrame:
