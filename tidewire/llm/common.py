@@ -39,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows of a narrow table that are sent to every executor; above, tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(df: DataFrame, narrow: DataFrame, on: Column, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a narrow table that has been cut: by broadcast if its counted rows are within the bound."""
+    return df.join(F.broadcast(narrow) if narrow.count() <= most else narrow.hint("merge"), on, how)
+
+
 def row_bucket(buckets: int, *cols: Column) -> Column:
     """A sub-bucket of a group, from the md5 of the columns (SQL engines agree on it); spreads a group over many tasks."""
     text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])

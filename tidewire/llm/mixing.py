@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.llm.common import cut, row_bucket, running_offset
+from tidewire.llm.common import SPACE, cut, join_checked, row_bucket, running_offset
 
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -25,8 +25,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in the text; null has none."""
-    spaces_apart = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " {2,}", " "))
-    return F.when(F.length(spaces_apart) == 0, F.lit(0)).otherwise(F.length(spaces_apart) - F.length(F.translate(spaces_apart, " ", "")) + 1).cast("long")
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{SPACE}]+", "w")
+    return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def shuffle_index(index: Column, n: Column, key: list[Column], rounds: int = 8) -> Column:
@@ -113,11 +113,24 @@ def mix_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 409
     words = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("_from"), F.col("block") * block_words)
     blocks = blocks.withColumn("_words", words)
     times = slots(plan, block_words, shard_slots, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"))
-    taken = blocks.join(times, ["source_no", "block"], "left")
+    taken = blocks.join(times.hint("merge"), ["source_no", "block"], "left")  # the planner takes exploded rows for few
     row = ["doc_id", "source", "size", "source_size", "target", "_from", "_crc"]
     return (
         taken.groupBy(*row)
         .agg(F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken"), F.count(F.when(F.col("block") == -1, 1)).alias("_empty"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_empty"), F.lit(1)))))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "_crc")
     )
+
+
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The documents that the mix takes, with their own columns: each as often as taken / size says, rounded up or down by
+    a hash of doc_id and text, so that whole documents meet the targets as well as their blocks do. Documents without
+    words are not taken."""
+    takes = mix_documents(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias("_of"), "_crc", (F.col("taken") / F.col("size")).alias("_times"))
+    takes = cut(takes.distinct(), "mix-takes")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+    joined = join_checked(docs, takes.withColumnRenamed("_crc", "_of_crc"), docs["doc_id"].eqNullSafe(F.col("_of")) & (crc == F.col("_of_crc")), "inner")
+    u = F.pmod(F.xxhash64(F.lit(seed), "_of", "_of_crc"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = F.floor(F.col("_times") + u).cast("int")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies))).where("_copy > 0").select(*[docs[c] for c in docs.columns])
