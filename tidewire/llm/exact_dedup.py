@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACE, cut
+from tidewire.llm.common import SPACE, cut, join_checked
 
 #: Most fingerprints, 8 bytes each, that are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -144,3 +144,18 @@ def exact_duplicates(docs: DataFrame, prefix_bits: int = 12) -> DataFrame:
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with their own columns. Of rows that repeat a doc_id with an equal text one stays."""
+    rows = cut(exact_duplicates(docs), "dedup-rows")
+    key = ["doc_id", "text_sha256"]
+    dropped = cut(rows.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dedup-dropped")
+    sha = F.sha2(normalised(docs["text"]), 256)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    left = join_checked(docs, dropped, same, "left_anti")
+    again = cut(rows.where("kept").groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "dedup-again")
+    if again.isEmpty():
+        return left
+    once = join_checked(left, again, same, "left_semi").withColumn("_norm", normalised(docs["text"])).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
+    return join_checked(left, again, same, "left_anti").unionByName(once)

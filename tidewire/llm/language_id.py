@@ -224,3 +224,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least: float = 0.4, model: Model | None = None) -> DataFrame:
+    """The documents in a language that was learned, with their own columns: `und` and scores below `least` go."""
+    model = model or fit(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in scorer.score(b.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
