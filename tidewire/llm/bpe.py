@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import models
@@ -115,12 +116,12 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.ids_of.__getitem__, self.pieces(text))), np.int32)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the bytes that the ids decode to."""
+    def digest(self, text: str) -> tuple[np.ndarray, str, str]:
+        """Ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the bytes that the ids decode to."""
         found = self.pieces(text)
         ids = np.frombuffer(b"".join(map(self.ids_of.__getitem__, found)), np.int32)
         written = ",".join(map(self.text_of.__getitem__, found)).encode()
-        return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(self.decode_bytes(ids)).hexdigest()
+        return ids, hashlib.sha256(written).hexdigest(), hashlib.sha256(self.decode_bytes(ids)).hexdigest()
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """(start, end) in characters of every token; a token that holds part of a character covers the whole of it."""
@@ -154,7 +155,7 @@ def bpe(path: str, pattern: str) -> ByteBpe:
 def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts are about `most` bytes at most (a longer text stands alone)."""
     for b in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
         part = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
         for x, y in zip(cuts, cuts[1:]):
@@ -192,8 +193,14 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass.
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    """array<int> from one array a row, without Python objects for the values."""
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+
+
+def encode_digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids), encoded and decoded in one pass.
 
     The digests are of the decimal ids joined by commas and of the bytes that those ids decode to. Null texts count as
     empty. Repeated rows give repeated results, an empty table an empty one; other columns are ignored.
@@ -202,8 +209,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
         for b in _slices(batches, "text"):
-            made = [own.digest(t or "") for t in b.column("text").to_pylist()]
-            counts, ids_sha, text_sha = zip(*made) if made else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, ids_sha, text_sha = zip(*[own.digest(t or "") for t in b.column("text").to_pylist()])
+            made = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([*made, _lists(list(ids))], [*names, "ids"]) if with_ids else pa.RecordBatch.from_arrays(made, names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
