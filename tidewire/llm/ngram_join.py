@@ -7,8 +7,9 @@ compared: every bit that one set has and the other lacks is an element that they
 overlap from above. Pairs that the bound lets through are verified by intersecting the sorted hash arrays.
 
 Groups of near copies would meet whole in every tile. They are joined up first: sets that share a minhash are each
-verified against one pivot, and tiles later compare only sets that are not yet in one component, which loses no link
-between components. A hash that only one component holds makes no tile at all; a large tile is cut into blocks.
+verified against one pivot, then tiles of the first few prefix hashes verify each set against its best partner. The full
+tiles compare only sets that are not yet in one component, which loses no link between components. A hash that only one
+component holds makes no tile at all; a large tile is cut into size bands and blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, join_checked
 from tidewire.llm.components import components
 
 WORDS, MINHASHES = 5, 6
@@ -29,8 +30,10 @@ WORDS, MINHASHES = 5, 6
 TILE_ROWS = 2048
 #: Most ids or hashes, 8 to 16 bytes each, that are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Pairs that share a pivot are verified in parts of this size.
-PIVOT_ROWS = 2048
+#: A family's sets are verified in blocks of about this many, and each pair of blocks on its own.
+FAMILY_ROWS = 256
+#: Hashes of each prefix that the first tiles look at, and hashes before its own that a row of a tile knows.
+FIRST_HASHES, BEFORE = 8, 3
 
 _U = np.uint64
 _rng = np.random.default_rng(20240101)
@@ -125,74 +128,105 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(x, pa.binary()) for x in (key, mins, prefix, maps)]], ["doc_id", "n", "set_key", "mins", "prefix", "bits"])
 
 
-def _explode(column: str, keep: list[str], numbered: bool):
+def _explode(column: str, keep: list[str], numbered: bool = False, first: int | None = None, before: int = 0):
+    """A row per hash in a binary column (or in its first `first`), with its number and the `before` hashes before it, if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                hashes = [np.frombuffer(x, np.int64) for x in part.column(column).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
-                made = [pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))]
+                hashes = [np.frombuffer(x, np.int64)[:first] for x in part.column(column).to_pylist()]
+                counts = np.array([len(h) for h in hashes], np.int64)
+                rows, flat = pa.array(np.repeat(np.arange(len(hashes)), counts)), np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+                number = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+                made, names = [pa.array(flat)], ["token"]
                 if numbered:
-                    made.append(pa.array(np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])))
-                yield pa.RecordBatch.from_arrays([*made, *[part.column(c).take(rows) for c in keep]], ["token", *["slot"] * numbered, *keep])
+                    made.append(pa.array(number.astype(np.int32)))
+                    names.append("slot")
+                if before:
+                    padded = np.concatenate([np.zeros(before, np.int64), flat])
+                    last = np.stack([np.where(number > k, padded[before - 1 - k : len(padded) - 1 - k], 0) for k in range(before)], axis=1)
+                    made.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * before), len(flat), [None, pa.py_buffer(np.ascontiguousarray(last).tobytes())]).cast(pa.binary()))
+                    names.append("before")
+                yield pa.RecordBatch.from_arrays([*made, *[part.column(c).take(rows) for c in keep]], [*names, *keep])
 
     return run
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, id, roles) -> a row per role with the set's sorted hashes; equal texts of an id repeat rows, harmlessly."""
+    """(text, id, places) -> a row per place with the set's sorted hashes; several texts of an id give several rows."""
     for b, texts in _texts(batches):
-        out = {k: [] for k in ("key", "part", "member", "id", "hashes")}
-        for s, i, roles in zip(shingle_sets(texts), b.column("id").to_pylist(), b.column("roles").to_pylist()):
+        out = {k: [] for k in ("family", "low", "high", "pair", "a", "b", "hashes")}
+        for s, i, places in zip(shingle_sets(texts), b.column("id").to_pylist(), b.column("places").to_pylist()):
             if len(s):
-                for r in roles:
-                    for k, v in (("key", r["key"]), ("part", r["part"]), ("member", r["member"]), ("id", i), ("hashes", s.tobytes())):
+                for r in places:
+                    for k, v in (("family", r["family"]), ("low", r["low"]), ("high", r["high"]), ("pair", 0), ("a", i), ("b", None), ("hashes", s.tobytes())):
                         out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["member"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["hashes"], pa.binary())], list(out))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, part, member): pivots first, then members, which are intersected with every pivot row."""
-    now, pivots = None, []
-    for b in batches:
+    """Rows sorted by (family, low, high, pair): first the sets of a place, then the pairs to intersect."""
+    now, sets = None, {}
+    for batch in batches:
         found = []
-        for key, part, member, i, h in zip(*(c.to_pylist() for c in b.columns)):
-            if (key, part) != now:
-                now, pivots = (key, part), []
-            s = np.frombuffer(h, np.uint64)
-            if not member:
-                if not any(np.array_equal(p, s) for p in pivots):
-                    pivots.append(s)
-                continue
-            for p in pivots:
-                small, large = (p, s) if len(p) <= len(s) else (s, p)
-                at = np.searchsorted(large, small)
-                overlap = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 9 * overlap >= 4 * (len(p) + len(s)):
-                    found.append((key, i))
-                    break
+        for family, low, high, pair, a, b, h in zip(*(c.to_pylist() for c in batch.columns)):
+            if (family, low, high) != now:
+                now, sets = (family, low, high), {}
+            if not pair:
+                sets.setdefault(a, []).append(np.frombuffer(h, np.uint64))
+            elif any(_links(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                found.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
 
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    least = int(needed(np.int64(len(x)), np.int64(len(y))))
+    if len(small) < least:
+        return False
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum()) >= least
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sets link. Texts of named documents are hashed anew; a pivot a with many partners is dealt in parts."""
+    """Of pairs (a, b), those whose sets link.
+
+    Pairs are verified where the sets of a family lie together, so that a set travels once for all its pairs. A family is
+    a label that goes down along two steps of pairs; pairs whose ends have different labels make a family of the smaller
+    end's. Large families are cut into blocks, and a pair goes to the place of its ends' blocks.
+    """
     spark = docs.sparkSession
-    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).select("a", F.ceil(F.col("_n") / PIVOT_ROWS).cast("int").alias("_parts"))
-    spread = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), F.lit(1).alias("member"))
-    own = parts.select(F.col("a").alias("id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("member"))
-    roles = cut(spread.unionByName(own).groupBy("id").agg(F.collect_list(F.struct("key", "part", "member")).alias("roles")), "jaccard-roles")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = cut(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("x"), F.least("a", "_m").alias("l")), "jaccard-label")
+    two = both.join(one, F.col("b") == F.col("x")).groupBy("a").agg(F.min("l").alias("_m"))
+    label = cut(two.join(one, F.col("a") == F.col("x")).select("x", F.least("l", "_m").alias("l")), "jaccard-label")
+    ends = pairs.join(label.select(F.col("x").alias("a"), F.col("l").alias("_la")), "a").join(label.select(F.col("x").alias("b"), F.col("l").alias("_lb")), "b")
+    ends = cut(ends.select("a", "b", F.least("_la", "_lb").alias("family")), "jaccard-ends")
+    size = cut(ends.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).select("family", F.ceil(F.sqrt(F.col("_n").cast("double")) / FAMILY_ROWS).cast("int").alias("_blocks")), "jaccard-size")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks")).cast("int")
+    placed = ends.join(size, "family").withColumn("_x", block("a")).withColumn("_y", block("b"))
+    placed = cut(placed.select("family", F.least("_x", "_y").alias("low"), F.greatest("_x", "_y").alias("high"), "a", "b"), "jaccard-places")
+    of = [placed.select(F.col(c).alias("id"), "family", "low", "high") for c in ("a", "b")]
+    roles = of[0].unionByName(of[1]).distinct().groupBy("id").agg(F.collect_list(F.struct("family", "low", "high")).alias("places"))
+    roles = cut(roles, "jaccard-roles")
     n = roles.count()
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    named = texts.join(F.broadcast(roles) if n <= BROADCAST_ROWS // 8 else roles, F.col("_id") == F.col("id")).select("text", "id", "roles")
-    rows = named.mapInArrow(_arrays, "key long, part int, member int, id long, hashes binary")
+    named = texts.join(F.broadcast(roles) if n <= BROADCAST_ROWS // 8 else roles, F.col("_id") == F.col("id")).select("text", "id", "places")
+    rows = named.mapInArrow(_arrays, "family long, low int, high int, pair int, a long, b long, hashes binary")
+    rows = rows.unionByName(placed.select("family", "low", "high", F.lit(1).alias("pair"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000 + 1)
-    dealt = rows.repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "member")
+    dealt = rows.repartition(tasks, "family", "low", "high").sortWithinPartitions("family", "low", "high", "pair")
     return cut(dealt.mapInArrow(_intersect, "a long, b long").distinct(), "jaccard-links")
 
 
-def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: pairs (a, b) that sizes and bit counts let through, of different components."""
+def _tile(best_only: bool):
+    """Rows sorted by tile -> pairs (a, b), a < b, of different components that sizes and bit counts let through.
+
+    A pair that is seen to share an earlier hash is left to the tile of that hash (of its earliest one at the latest).
+    best_only: of the pairs of a set only the one with the largest bound, so a tile gives no more pairs than it has rows.
+    """
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n"))
@@ -201,6 +235,7 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [t.column(c).to_numpy() for c in ("token", "band", "low", "high")]
         group = np.concatenate(([0], np.cumsum(np.any([k[1:] != k[:-1] for k in keys], axis=0))))
         maps = t.column("bits").to_pylist()
+        before = np.frombuffer(b"".join(t.column("before").to_pylist()), np.int64).reshape(len(ids), -1)
         n = n.astype(np.int64)
         found: list[np.ndarray] = []
         rows = np.arange(len(ids))
@@ -209,17 +244,21 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lag += 1
             rows = rows[rows + lag < len(ids)]
             rows = rows[group[rows] == group[rows + lag]]
+            rows = rows[n[rows] >= needed(n[rows], n[rows + lag])]  # rows are in order of size: too far apart now, too far from here on
             i, j = rows, rows + lag
-            ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (9 * np.minimum(n[i], n[j]) >= needed(n[i], n[j]) * 9)
+            ok = (comp[i] != comp[j]) & (home[i] | home[j])
             ok &= (low[i] == high[i]) | (side[i] != side[j])
             i, j = i[ok], j[ok]
+            if len(i):
+                known = ((before[i][:, :, None] == before[j][:, None]) & (before[i] != 0)[:, :, None]).any((1, 2))
+                i, j = i[~known], j[~known]
             if len(i):
                 found.append(np.stack([i, j]))
         if not found:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
         i, j = np.concatenate(found, axis=1)
         width = np.array([len(m) for m in maps])
-        keep = np.zeros(len(i), bool)
+        keep, bounds = np.zeros(len(i), bool), np.zeros(len(i))
         common = np.minimum(width[i], width[j])
         for w in np.unique(common):
             at = np.flatnonzero(common == w)
@@ -230,24 +269,63 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = folded[back[s : s + len(p)]], folded[back[len(at) + s : len(at) + s + len(p)]]
                 bound = np.minimum(n[i[p]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j[p]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                 keep[p] = bound >= needed(n[i[p]], n[j[p]])
+                bounds[p] = bound / (n[i[p]] + n[j[p]] - bound)
+        if best_only:
+            at = np.flatnonzero(keep)
+            row, pair = np.concatenate([i[at], j[at]]), np.concatenate([at, at])
+            order = np.lexsort((-bounds[pair], row))
+            firsts = np.concatenate(([True], np.diff(row[order]) != 0)) if len(order) else np.zeros(0, bool)
+            keep = np.zeros(len(i), bool)
+            keep[pair[order][firsts]] = True
         a, b = ids[i[keep]], ids[j[keep]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) < 20_000:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        last = [t.column(c)[-1].as_py() for c in ("token", "band", "low", "high")]
-        same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("token", "band", "low", "high"), last)])
-        stop = int(np.flatnonzero(same)[0])
-        if stop:
-            yield compare(t.slice(0, stop))
-        held = t.slice(stop).combine_chunks().to_batches()
-    if held:
-        yield compare(pa.Table.from_batches(held).combine_chunks())
+    keys = ("token", "band", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < 20_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in keys])
+            stop = int(np.flatnonzero(same)[0])
+            if stop:
+                yield compare(t.slice(0, stop))
+            held = t.slice(stop).combine_chunks().to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def tile_pairs(kept: DataFrame, moved: DataFrame, best_only: bool, first: int | None) -> DataFrame:
+    """Candidate pairs of the kept sets (doc_id, n, prefix, bits), given what components they are in already."""
+    spark = kept.sparkSession
+    sets = _spread_ids(kept.select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), moved, moved.count(), F.col("id") == F.col("_node"))
+    sets = sets.withColumn("comp", F.coalesce("component", "id")).drop("_node", "component")
+    tokens = sets.select("prefix", "comp").mapInArrow(_explode("prefix", ["comp"], first=first), "token long, comp long")
+    shared = tokens.groupBy("token").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    shared = cut(shared.where("_least < _most").select(F.col("token").alias("_token"), F.ceil(F.col("_rows") / TILE_ROWS).cast("int").alias("_blocks")), "jaccard-shared")
+    few = shared.count()
+    rows = sets.mapInArrow(_explode("prefix", ["id", "comp", "n", "bits"], first=first, before=BEFORE), "token long, before binary, id long, comp long, n int, bits binary")
+    rows = rows.join(F.broadcast(shared) if few <= BROADCAST_ROWS else shared, F.col("token") == F.col("_token"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2501)))).cast("int")
+    # a small tile holds all sizes and is swept in order of size; a large one is cut by size band, and into blocks
+    large = F.col("_blocks") > 1
+    rows = rows.withColumn("home", F.explode(F.when(large, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    rows = rows.withColumn("band", F.when(large, band - F.when(F.col("home"), 0).otherwise(1)).otherwise(F.lit(0)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("token", "band", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "home", "id", "comp", "n", "bits", "before")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), few // 20_000 + 1)
+    tiles = rows.repartition(tasks, "token", "band", "low", "high").sortWithinPartitions("token", "band", "low", "high", "n")
+    return cut(tiles.mapInArrow(_tile(best_only), "a long, b long").distinct(), "jaccard-candidates")
+
+
+def _moved(links: DataFrame) -> DataFrame:
+    return cut(components(links).where("node != component").select(F.col("node").alias("_node"), "component"), "jaccard-merged")
 
 
 def _spread_ids(df: DataFrame, ids: DataFrame, n: int, on) -> DataFrame:
@@ -271,35 +349,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     kept = known.join(F.broadcast(reps) if count <= BROADCAST_ROWS // 8 else reps, (F.col("doc_id") == F.col("_rep")) & (F.col("set_key") == F.col("_key")), "left_semi")
     copies = of_doc.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
-    mins = cut(kept.select("mins", F.col("doc_id").alias("id")).mapInArrow(_explode("mins", ["id"], True), "token long, slot int, id long"), "jaccard-mins")
+    mins = cut(kept.select("mins", F.col("doc_id").alias("id")).mapInArrow(_explode("mins", ["id"], numbered=True), "token long, slot int, id long"), "jaccard-mins")
     pivots = cut(mins.groupBy("slot", "token").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot < _last").select(F.col("slot").alias("_s"), F.col("token").alias("_t"), "pivot"), "jaccard-pivots")
     star = mins.join(pivots, (F.col("slot") == F.col("_s")) & (F.col("token") == F.col("_t"))).where("id != pivot")
     votes = star.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     best = cut(votes.groupBy("id").agg(F.min_by("pivot", F.struct(-F.col("votes"), F.col("pivot"))).alias("a")).select("a", F.col("id").alias("b")), "jaccard-stars")
     first = verified(docs, best)
-    merged = components(first)
-    moved = cut(merged.where("node != component").select(F.col("node").alias("_node"), "component"), "jaccard-merged")
+    near = verified(docs, tile_pairs(kept, _moved(first), best_only=True, first=FIRST_HASHES))
+    linked = first.unionByName(near)
+    rest = verified(docs, tile_pairs(kept, _moved(linked), best_only=False, first=None))
 
-    sets = _spread_ids(kept.select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), moved, moved.count(), F.col("id") == F.col("_node"))
-    sets = sets.withColumn("comp", F.coalesce("component", "id")).drop("_node", "component")
-    tokens = sets.select("prefix", "comp").mapInArrow(_explode("prefix", ["comp"], False), "token long, comp long")
-    shared = tokens.groupBy("token").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count(F.lit(1)).alias("_rows"))
-    shared = cut(shared.where("_least < _most").select(F.col("token").alias("_token"), F.ceil(F.col("_rows") / TILE_ROWS).cast("int").alias("_blocks")), "jaccard-shared")
-    few = shared.count()
-    rows = sets.mapInArrow(_explode("prefix", ["id", "comp", "n", "bits"], False), "token long, id long, comp long, n int, bits binary")
-    rows = rows.join(F.broadcast(shared) if few <= BROADCAST_ROWS else shared, F.col("token") == F.col("_token"))
-    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2501)))).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", own - F.when(F.col("home"), 0).otherwise(1))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("token", "band", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "home", "id", "comp", "n", "bits")
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), few // 20_000 + 1)
-    tiles = rows.repartition(tasks, "token", "band", "low", "high").sortWithinPartitions("token", "band", "low", "high")
-    candidates = cut(tiles.mapInArrow(_tile, "a long, b long").distinct(), "jaccard-candidates")
-    second = verified(docs, candidates)
-
-    edges = copies.unionByName(first).unionByName(second)
+    edges = copies.unionByName(linked).unionByName(rest)
     ends = cut(components(edges).where("node != component").select(F.col("node").alias("_node"), "component"), "jaccard-ends")
     out = _spread_ids(signed.select("doc_id", "n"), ends, ends.count(), F.col("doc_id") == F.col("_node"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of their component, with their own columns."""
+    dropped = jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    return join_checked(docs, cut(dropped, "jaccard-dropped"), docs["doc_id"] == F.col("_dropped"), "left_anti")
