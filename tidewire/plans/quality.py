@@ -68,16 +68,20 @@ def daily_breakdown(rows: DataFrame, ts: str, **measures: Column) -> DataFrame:
 def temporal_neighbours(rows: DataFrame, ident: str, ts: str, hours: int) -> DataFrame:
     """For each row, how many others lie within the hours on either side, both ends included.
 
-    Times are counted in buckets of the window; whole seconds between are summed from a cumulated count per second, so no
-    row ever meets its neighbours, and the windows run over seconds (at most a few million), not rows.
+    Rows are counted per second, and seconds are dealt to buckets of the window's length, each with the two beside it. In
+    a bucket the counts are cumulated once; a second then reads the sum at its upper end and the one before its lower end.
     """
     sec = F.floor(F.unix_micros(ts) / 1_000_000).cast("long")
     width = hours * 3600
-    each = rows.groupBy(sec.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_s") / width).cast("long"))
-    spread = each.select("_s", F.col("_n"), F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])).alias("_b"), F.col("_b").alias("_own"))
-    around = F.sum("_n").over(Window.partitionBy("_b").orderBy("_s").rangeBetween(-width, width))
-    counted = spread.withColumn("_near", around).where("_b = _own").select("_s", "_near")
-    return rows.select(F.col(ident), sec.alias("_s")).join(counted, "_s").select(ident, (F.col("_near") - 1).alias("neighbours"))
+    each = rows.groupBy(sec.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_own", F.floor(F.col("_s") / width).cast("long"))
+    beside = F.explode(F.array(*[F.col("_own") + d for d in (-1, 0, 1)]))
+    none = F.lit(None).cast("long")
+    points = each.select(beside.alias("_b"), F.col("_s").alias("_at"), F.lit(0).alias("_kind"), "_n", none.alias("_of"), F.lit(0).alias("_sign"))
+    for at, sign in ((F.col("_s") + width, 1), (F.col("_s") - width - 1, -1)):
+        points = points.unionByName(each.select(F.col("_own").alias("_b"), at.alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_n"), F.col("_s").alias("_of"), F.lit(sign).alias("_sign")))
+    so_far = F.sum("_n").over(Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = points.withColumn("_sum", so_far).where("_of IS NOT NULL").groupBy("_of").agg(F.sum(F.col("_sign") * F.col("_sum")).alias("_near"))
+    return rows.select(F.col(ident), sec.alias("_s")).join(counted, F.col("_s") == F.col("_of")).select(ident, (F.col("_near") - 1).alias("neighbours"))
 
 
 def url_variants(urls: DataFrame, url: str, kind: str) -> DataFrame:
