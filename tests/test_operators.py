@@ -208,3 +208,25 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in seen:
         total[r["window_start"]] = total.get(r["window_start"], 0) + r["rows"]
     assert total == {r["window_start"]: r["rows"] for r in tumbling.tumbling_counts(rows, "ts", 15, "k").collect()}
+
+
+def test_imports(spark, tmp_path):
+    from tidewire.operators import imports
+
+    def zipped(name, body):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("x.csv", body)
+        return f"file://{tmp_path / name}"
+
+    tables = store.TableStore(spark, str(tmp_path / "lake"))
+    good = {"EVENTS": zipped("1.export.CSV.zip", "a\nb\n"), "MENTIONS": zipped("1.mentions.CSV.zip", "c\n")}
+    (tmp_path / "2.export.CSV.zip").write_bytes(b"broken")
+    bad = {"EVENTS": f"file://{tmp_path}/2.export.CSV.zip", "MENTIONS": zipped("2.mentions.CSV.zip", "d\n")}
+    out = imports.import_windows(spark, tables, [(BASE, bad), (BASE + timedelta(minutes=15), good)], BASE)
+    assert [v.split(":")[0] for v in out.values()] == ["FAILED", "COMPLETED"]
+    again = imports.import_window(spark, tables, good, BASE, BASE)
+    assert [(r.row_count, r.skipped) for r in again] == [(2, True), (1, True)]
+    assert sorted((r["row_number"], r["raw_tsv"]) for r in imports.payloads(spark, tables, "EVENTS").collect()) == [(1, "a"), (2, "b")]
+    manifest = tables.read("import_files")
+    assert {(r["source_file"], r["status"]) for r in manifest.collect()} == {("2.export.CSV.zip", "FAILED"), ("1.export.CSV.zip", "COMPLETED"), ("1.mentions.CSV.zip", "COMPLETED")}
+    assert [r["source_timestamp"] for r in masterfile.failed_windows(manifest).collect()] == [BASE]
