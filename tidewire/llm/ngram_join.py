@@ -91,8 +91,8 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """As many bits as the next power of two, 64 at least, over the number of hashes."""
-    bits = np.zeros(max(64, 1 << int(len(hashes) - 1).bit_length()), np.uint8)
+    """As many bits as the next power of two over the number of hashes, 512 at least: small sets get sharper bounds cheaply."""
+    bits = np.zeros(max(512, 1 << int(len(hashes) - 1).bit_length()), np.uint8)
     bits[(hashes & _U(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
