@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewire import schemas
 from tidewire.operators import extraction, health, retention, search, staging, views
-from tidewire.plans import clusters, evaluation, inputs, pairs
+from tidewire.plans import clusters, evaluation, inputs, pairs, quality
+from tidewire.queries import QUERIES
 from tidewire.sources import archives, embedder, masterfile, store
 from tidewire.streaming import tumbling
 
@@ -230,3 +231,13 @@ def test_imports(spark, tmp_path):
     manifest = tables.read("import_files")
     assert {(r["source_file"], r["status"]) for r in manifest.collect()} == {("2.export.CSV.zip", "FAILED"), ("1.export.CSV.zip", "COMPLETED"), ("1.mentions.CSV.zip", "COMPLETED")}
     assert [r["source_timestamp"] for r in masterfile.failed_windows(manifest).collect()] == [BASE]
+
+
+def test_daily_breakdown_counts_all_events(spark):
+    rows = spark.createDataFrame([(BASE, "error"), (BASE, "view"), (BASE + timedelta(days=3), "error")], "ts TIMESTAMP, event_type STRING")
+    got = quality.daily_breakdown(rows, "ts", errors=F.col("event_type") == "error").orderBy("day").collect()
+    assert [(r["day"].day, r["rows"], r["errors"]) for r in got] == [(5, 2, 1), (6, 0, 0), (7, 0, 0), (8, 1, 1)]
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    total = QUERIES["daily_breakdown_all"](spark, sf).agg(F.sum("rows"), F.sum("errors")).first()
+    assert tuple(total) == (events.count(), events.where("event_type = 'error'").count())
