@@ -1,6 +1,7 @@
 """Staging, extraction, search, retention, windows, pairs and stories on small fixtures."""
 
 import io
+import random
 import zipfile
 from datetime import datetime, timedelta
 
@@ -241,3 +242,13 @@ def test_daily_breakdown_counts_all_events(spark):
     events = spark.read.parquet(f"{sf}/events.parquet")
     total = QUERIES["daily_breakdown_all"](spark, sf).agg(F.sum("rows"), F.sum("errors")).first()
     assert tuple(total) == (events.count(), events.where("event_type = 'error'").count())
+
+
+def test_connected_follows_long_paths(spark):
+    names = [f"n{i:04d}" for i in range(400)]
+    random.Random(4).shuffle(names)
+    path, ring = names[:390], names[390:]
+    edges = [*zip(path, path[1:]), *zip(ring, ring[1:]), (ring[0], ring[0]), (path[0], "elsewhere"), ("elsewhere", ring[0]), (path[0], None)]
+    nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "ref STRING")
+    got = {r["node"]: r["component"] for r in clusters.connected(nodes, spark.createDataFrame(edges, "left_ref STRING, right_ref STRING")).collect()}
+    assert got == {x: min(path) for x in path} | {x: min(ring) for x in ring} | {"alone": "alone"}
