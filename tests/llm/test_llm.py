@@ -200,6 +200,22 @@ def test_licenses(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_licenses_are_found_at_every_offset(spark):
+    clear = "Redistribution and use in source and binary forms, with or without modification, are permitted (subject to the limitations in the disclaimer below) provided that the following conditions are met"
+    texts = [(label, k, " ".join([f"q{i}" for i in range(k)] + [t] + [f"r{i}" for i in range(60)])) for label, t in (("bsd", clear), ("mit", "Released under the terms of the MIT License.")) for k in range(43)]
+    rows = {r["doc_id"]: r for r in license_scan.scan(documents(spark, [(i, t) for i, (_, _, t) in enumerate(texts)])).collect()}
+    for i, (label, k, text) in enumerate(texts):
+        w = license_scan.words_of(text)
+        for name, template in license_scan.TEMPLATES:
+            t = license_scan.Template(name, template, {}, 0.9)
+            shares = [len(set(w[a : a + 2 * t.stride]) & set(t.order)) for a in range(len(w))]
+            got = t.passages(w, set(w))
+            starts = {a for a, n in enumerate(shares) if n >= t.need}
+            assert bool(got) == bool(starts) and all(any(first - 2 * t.stride <= a < end for first, end, _ in got) for a in starts)
+            assert not got or max(c for _, _, c in got) == max(shares) / len(t.order)
+        assert label in {b["label"] for b in rows[i]["blocks"]}, (label, k)
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}

@@ -1,15 +1,16 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a window of 2 n words at a stride of n, n being the words of the template, so a passage of up to n + 1 words
-lies whole in a block. A block matches when it holds at least `threshold` of the template's distinct words. Words are
-ordered by their document frequency over all documents, rarest first. Three filters, none of which can lose a match:
-prefix (a match must hold one of the template's rarest n - need + 1 words), length (a block with fewer distinct words
-than needed cannot match) and positional (from the first shared word on, what both sets still have must suffice).
+A block is a window of 2 n words, n being the words of the template, and starts at any word. A block matches when it
+holds at least `threshold` of the template's distinct words. The window slides over the places of template words with
+running counts of distinct words; a window that starts elsewhere holds no more than the one at the next such place.
+Words are ordered by their document frequency over all documents, rarest first. Three filters, none of which can lose a
+match: prefix (a match must hold one of the template's rarest n - need + 1 words), length (a document with fewer distinct
+words than needed cannot match) and positional (from the first shared word on, what both sets still have must suffice).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,27 +69,49 @@ class Template:
         self.need = next(k for k in range(1, n + 1) if k >= threshold * n - 1e-9)
         self.prefix = frozenset(self.order[: n - self.need + 1])
 
-    def matches(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int, float]]:
-        """(first word, end, containment) of every matching block; present: the document's distinct words."""
+    def _places(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int]]:
+        """(place, rank) of every template word, or nothing if the filters rule the document out."""
         if self.prefix.isdisjoint(present):
             return []
         shared = [r for r in range(len(self.order)) if self.order[r] in present]
         if len(shared) < self.need or len(self.order) - shared[0] < self.need:
             return []
-        at = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
-        blocks: dict[int, set[int]] = {}
-        for i, r in at:
-            k = i // self.stride
-            blocks.setdefault(k, set()).add(r)
-            if k:
-                blocks.setdefault(k - 1, set()).add(r)
-        found = []
-        for k, ranks in sorted(blocks.items()):
-            first = min(ranks)
-            if first > len(self.order) - self.need or len(ranks) < self.need:  # prefix and position; length
-                continue
-            a = k * self.stride
-            found.append((a, min(len(words), a + 2 * self.stride), len(ranks) / len(self.order)))
+        return [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
+
+    def _windows(self, at: list[tuple[int, int]], starts: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """(start, distinct template words) of the matching windows among those at the ascending starts."""
+        held, distinct, first, last = [0] * len(self.order), 0, 0, 0
+        for a in starts:
+            while last < len(at) and at[last][0] < a + 2 * self.stride:
+                r = at[last][1]
+                distinct += not held[r]
+                held[r] += 1
+                last += 1
+            while first < last and at[first][0] < a:
+                r = at[first][1]
+                held[r] -= 1
+                distinct -= not held[r]
+                first += 1
+            if distinct >= self.need:
+                yield a, distinct
+
+    def matches(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, end, containment) of the matching blocks at a stride of n only; present: the document's distinct words."""
+        at = self._places(words, present)
+        found = self._windows(at, range(0, len(words), self.stride)) if at else ()
+        return [(a, min(len(words), a + 2 * self.stride), k / len(self.order)) for a, k in found]
+
+    def passages(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, end, largest containment) of all matching blocks, those that overlap joined into one."""
+        at = self._places(words, present)
+        found: list[tuple[int, int, float]] = []
+        for a, k in self._windows(at, (i for i, _ in at)):
+            end, share = min(len(words), a + 2 * self.stride), k / len(self.order)
+            if found and a < found[-1][1]:
+                first, _, best = found.pop()
+                found.append((first, end, max(best, share)))
+            else:
+                found.append((a, end, share))
         return found
 
 
@@ -118,6 +141,8 @@ SCHEMA = (
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_words, places (start, label) of phrases, blocks (label, first, end, containment).
 
+    Matching blocks that overlap come as one, with the largest containment of them.
+
     Null texts count as empty and have no places or blocks. Repeated rows give repeated results, an empty table an empty
     one; other columns are ignored.
     """
@@ -135,7 +160,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
                 present = set(words)
                 counts.append(len(words))
                 places.append([{"start": i, "label": x} for i, x in phrase_places(words, present, listed)])
-                blocks.append([{"label": t.label, "first": a, "end": e, "containment": c} for t in known for a, e, c in t.matches(words, present)])
+                blocks.append([{"label": t.label, "first": a, "end": e, "containment": c} for t in known for a, e, c in t.passages(words, present)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], ["doc_id", "n_words", "places", "blocks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
