@@ -320,6 +320,16 @@ def test_language_id(spark):
     assert nothing[0]["lang_pred"] == "und" and language_id.identify(empty(spark)).count() == 0
 
 
+def test_language_sample_holds_rare_languages(spark, monkeypatch):
+    rows = [(i, f"common words {i}", "en") for i in range(2000)] + [(i, f"andere {i}", "de") for i in range(2000, 3000)] + [(i, f"rare {i}", "xx") for i in range(3000, 3006)] + [(None, "twin", "yy")] * 50
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: seen.append(Counter(labels)))
+    language_id.fit(documents(spark, rows), sample_docs=40)
+    rare = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(3000, 3006))
+    assert seen[0]["xx"] == rare > 0 and seen[0]["yy"] == 1 and min(seen[0]["en"], seen[0]["de"]) >= 10 and sum(seen[0].values()) <= 40
+    assert language_id.shares({"a": 10**9, "b": 1, "c": 0, "d": 50}, 100) == {"c": 0, "b": 1, "d": 49, "a": 50}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1200)] + [(5, None)]

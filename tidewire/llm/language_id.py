@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: documents, and characters of each, at a place that its hash chooses.
+#: Bounds of the training sample: documents, shared evenly by the languages (one of each at least), and characters of each, at a place that its hash chooses.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 300
+#: Leading bits of the hashes whose values are counted.
+SAMPLE_BITS = 10
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that hold letters: ASCII letters and all parts of longer characters.
@@ -198,14 +200,48 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows each language gives: most, shared evenly; what a small one lacks goes to the others, and each gives one at least."""
+    found, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        found[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= found[lang]
+    return found
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Train on a bounded sample of the labelled rows that are not held out: the sample_docs smallest by a hash of doc_id."""
+    """Train on a bounded sample of the labelled rows that are not held out: of each language its share of sample_docs, smallest by a hash of doc_id and text.
+
+    Hashes are counted by bucket first, so that little more than the sample is sent to the driver, whatever the number
+    of tasks. Equal rows count once.
+    """
     own = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    room = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     part = F.expr(f"substring(text, cast(1 + pmod(_hash, greatest(length(text) - {sample_chars}, 0) + 1) as int), {sample_chars})")
-    rows = own.select(hashed.alias("_hash"), "text", "lang", room.alias("_room")).select("_hash", part.alias("text"), "lang").orderBy("_hash", "text", "lang").limit(sample_docs).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    hashes = own.select(hashed.alias("_hash"), "text", "lang")
+    bucket = F.shiftright("_hash", 64 - SAMPLE_BITS)
+    counts: dict[str, dict[int, int]] = {}
+    for r in hashes.groupBy("lang", bucket.alias("bucket")).count().collect():
+        counts.setdefault(r["lang"], {})[r["bucket"]] = r["count"]
+    share = shares({lang: sum(c.values()) for lang, c in counts.items()}, sample_docs)
+    last = []
+    for lang, c in counts.items():
+        so_far = 0
+        for k in sorted(c):
+            so_far += c[k]
+            if so_far >= share[lang]:
+                last.append((lang, k))
+                break
+    ends = F.broadcast(docs.sparkSession.createDataFrame(last, "_lang string, _last long"))
+    near = hashes.join(ends, (F.col("lang") == F.col("_lang")) & (bucket <= F.col("_last")))
+    rows = sorted(near.select("_hash", part.alias("text"), "lang").distinct().collect(), key=lambda r: (r["_hash"], r["text"], r["lang"]))
+    left, texts, labels = dict(share), [], []
+    for r in rows:
+        if left[r["lang"]]:
+            left[r["lang"]] -= 1
+            texts.append(r["text"])
+            labels.append(r["lang"])
+    return train(texts, labels)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
