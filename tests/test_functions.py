@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import hashing, text, tsv, url, vectors
 from tidewire.operators import search
-from tidewire.plans.snapshots import RunLedger
 
 
 def one(spark, column, **values):
@@ -58,7 +57,11 @@ def test_titles(spark):
     raw = "<PAGE_TITLE> </PAGE_TITLE><page_title>Second &#x20B9;</page_title>"
     titles = text.tag_titles(F.col("v"))
     assert one(spark, text.first_title(titles), v=raw) == "Second &#x20B9;"
-    assert one(spark, text.word_key(F.col("v")), v="Café -- Update!") == "café update"
+    assert one(spark, text.word_key(F.col("v")), v="Café -- Update! Straße ΣΟΦΟΣ Ｎ") == "Café -- Update! Straße ΣΟΦΟΣ N".casefold().replace(" -- ", " ").replace("! ", " ")
+    assert sorted(one(spark, text.token_set(F.col("v")), v="Straße STRASSE ΣΟΦΟΣ σοφος")) == sorted({"strasse", "ΣΟΦΟΣ".casefold()})
+    for v in ("x" * 1500, "\U0001f600" * 700, "a" + "\U0001f600" * 600, "short"):
+        cut = one(spark, text.first_title(F.array("v")), v=v)
+        assert v.startswith(cut) and len(cut.encode("utf-16-le")) // 2 <= 1000 and (cut == v or len((cut + v[len(cut)]).encode("utf-16-le")) // 2 > 1000)
 
 
 def test_publication_times(spark):
@@ -110,13 +113,3 @@ def test_criteria():
             search.validate(search.Criteria(), offset, limit)
     with pytest.raises(search.InvalidRequest):
         search.parse_instant("yesterday")
-
-
-def test_fencing():
-    from datetime import timedelta
-
-    now, ledger = datetime(2026, 1, 1), RunLedger()
-    assert ledger.claim("k", now) == 0 and ledger.claim("k", now) is None
-    late = now + timedelta(hours=1)
-    assert ledger.claim("k", late) == 1
-    assert not ledger.finish("k", 0, late) and ledger.finish("k", 1, late) and ledger.claim("k", late) is None

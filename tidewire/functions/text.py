@@ -84,6 +84,21 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def casefold(s: pd.Series) -> pd.Series:
+    """Full case folding ('ß' is 'ss', a final sigma a sigma), for which Spark has no function."""
+    return s.map(lambda x: None if x is None else x if x.isascii() and x.islower() else x.casefold())
+
+
+def cut_units(c: Column) -> Column:
+    """At most TITLE_UNITS UTF-16 units; a character of two units that would be cut in half goes whole."""
+    pairs = r"[\x{10000}-\x{10FFFF}]"
+    units = lambda x: F.length(F.regexp_replace(x, pairs, "xx"))
+    short = F.substring(c, 1, TITLE_UNITS)
+    fits = F.filter(F.sequence(F.lit(1), F.length(short)), lambda i: units(F.substring(short, F.lit(1), i)) <= TITLE_UNITS)
+    return F.when(units(short) <= TITLE_UNITS, short).otherwise(F.substring(short, F.lit(1), F.array_max(fits)))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space and separators become one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
@@ -95,9 +110,9 @@ def tag_titles(extras: Column, tag: str = "PAGE_TITLE") -> Column:
 
 
 def first_title(candidates: Column) -> Column:
-    """First of (unescaped) candidates that isn't empty when stripped, cut to TITLE_UNITS."""
+    """First of (unescaped) candidates that isn't empty when stripped, cut to TITLE_UNITS UTF-16 units."""
     stripped = F.transform(candidates, lambda t: F.regexp_replace(t, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.substring(F.get(F.filter(stripped, lambda t: t != ""), F.lit(0)), 1, TITLE_UNITS)
+    return cut_units(F.get(F.filter(stripped, lambda t: t != ""), F.lit(0)))
 
 
 def publication_time(extras: Column, document_date: Column, tag: str = "PAGE_PRECISEPUBTIMESTAMP") -> Column:
@@ -126,13 +141,25 @@ def title_usability(normalized: Column) -> Column:
 
 
 def word_key(c: Column) -> Column:
-    """Lower case words joined by single spaces: a key under which titles count as the same."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    """Case-folded words (after NFKC) joined by single spaces: a key under which titles count as the same."""
+    return F.trim(F.regexp_replace(casefold(nfkc(c)), r"[^\p{L}\p{N}_]+", " "))
 
 
 def token_set(c: Column) -> Column:
-    """Distinct words of letters and digits, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0))
+    """Distinct words of letters and digits, case-folded."""
+    return F.array_distinct(F.regexp_extract_all(casefold(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0))
+
+
+def locations_json(c: Column) -> Column:
+    """Places as a JSON array; null stays null."""
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def locations_from_json(c: Column) -> Column:
+    """Places of a JSON array, also where it was written as a JSON string of the array; anything else gives an empty array."""
+    kind = f"array<{LOCATION}>"
+    inner = F.when(F.startswith(F.ltrim(c), F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")).otherwise(c)
+    return F.coalesce(F.from_json(inner, kind), F.array().cast(kind))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -37,28 +37,48 @@ def seconds_apart(a: Column, b: Column) -> Column:
     return F.floor(F.abs(F.unix_micros(a) - F.unix_micros(b)) / 1_000_000).cast("long")
 
 
+def _by_length(values: pd.Series) -> list[tuple[int, np.ndarray]]:
+    """(length, places) of the values that aren't null, so that all of one length are worked on at once."""
+    lengths = np.array([-1 if v is None else len(v) for v in values])
+    return [(int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths) if n >= 0]
+
+
 @F.pandas_udf(_ENCODED)
 def encoded(vectors: pd.Series, dimension: pd.Series) -> pd.DataFrame:
     """Unit vector as big-endian float32, its SHA-256 and the norm before; or DIMENSION_MISMATCH, NON_FINITE_VECTOR, ZERO_NORM."""
-    rows = []
-    for v, d in zip(vectors, dimension):
-        x = None if v is None else np.array([np.nan if y is None else y for y in v], np.float64)
-        n = 0.0 if x is None else float(np.sqrt((x * x).sum()))
-        error = "DIMENSION_MISMATCH" if x is None or len(x) != d else "NON_FINITE_VECTOR" if not np.isfinite(x).all() else "ZERO_NORM" if not n > 0 else None
-        data = None if error else (x / n).astype(">f4").tobytes()
-        rows.append((data, None if error else hashlib.sha256(data).hexdigest(), None if error else n, error))
-    return pd.DataFrame(rows, columns=["bytes", "hash", "norm", "error"])
+    out = pd.DataFrame({"bytes": None, "hash": None, "norm": np.nan, "error": "DIMENSION_MISMATCH"}, index=range(len(vectors))).astype(object)
+    for n, at in _by_length(vectors):
+        at = at[dimension.to_numpy()[at] == n]
+        if not len(at):
+            continue
+        x = np.array([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at]).reshape(len(at), n)
+        norms = np.sqrt((x * x).sum(1))
+        finite = np.isfinite(x).all(1)
+        good = finite & (norms > 0)
+        data = (x[good] / norms[good, None]).astype(">f4")
+        out.loc[at[~finite], "error"], out.loc[at[finite & ~good], "error"], out.loc[at[good], "error"] = "NON_FINITE_VECTOR", "ZERO_NORM", None
+        for i, row, norm_ in zip(at[good], data, norms[good]):
+            b = row.tobytes()
+            out.at[i, "bytes"], out.at[i, "hash"], out.at[i, "norm"] = b, hashlib.sha256(b).hexdigest(), norm_
+    out["norm"] = out["norm"].astype(float)
+    return out
 
 
 @F.pandas_udf(_DECODED)
 def decoded(data: pd.Series, dimension: pd.Series, expected: pd.Series) -> pd.DataFrame:
     """Vector of stored bytes; or VECTOR_BYTE_LENGTH, VECTOR_HASH, NON_FINITE_VECTOR, ZERO_NORM."""
-    rows = []
-    for b, d, h in zip(data, dimension, expected):
-        if b is None or len(b) != 4 * d:
-            rows.append((None, "VECTOR_BYTE_LENGTH"))
+    out = pd.DataFrame({"vector": None, "error": "VECTOR_BYTE_LENGTH"}, index=range(len(data))).astype(object)
+    for n, at in _by_length(data):
+        at = at[4 * dimension.to_numpy()[at] == n]
+        if not len(at):
             continue
-        x = np.frombuffer(b, ">f4").astype(np.float32)
-        error = "VECTOR_HASH" if hashlib.sha256(b).hexdigest() != h else "NON_FINITE_VECTOR" if not np.isfinite(x).all() else "ZERO_NORM" if not x.any() else None
-        rows.append((None if error else x.tolist(), error))
-    return pd.DataFrame(rows, columns=["vector", "error"])
+        x = np.frombuffer(b"".join(data.iloc[i] for i in at), ">f4").reshape(len(at), -1).astype(np.float32)
+        finite, some = np.isfinite(x).all(1), x.any(1)
+        same = np.array([hashlib.sha256(data.iloc[i]).hexdigest() == expected.iloc[i] for i in at])
+        for rule, code in ((~some, "ZERO_NORM"), (~finite, "NON_FINITE_VECTOR"), (~same, "VECTOR_HASH")):
+            out.loc[at[rule], "error"] = code
+        good = same & finite & some
+        out.loc[at[good], "error"] = None
+        for i, row in zip(at[good], x[good]):
+            out.at[i, "vector"] = row
+    return out

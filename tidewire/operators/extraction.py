@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewire.functions import url
+from tidewire.lineage import numbered
 from tidewire.schemas import DATASETS
 
 SIGNAL_ORDER = {name: i for i, name in enumerate(DATASETS)}
@@ -40,7 +40,8 @@ def extract(todo: DataFrame, articles: DataFrame, now: Column) -> dict[str, Data
     start = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start"))
     known = articles.select("url_hash", *[F.col(c).alias(f"_{c}") for c in ("id", "canonical_url", "domain", "first_seen_at", "created_at", "updated_at")])
     merged = seen.join(known, "url_hash", "full_outer")
-    fresh = merged.where("_id IS NULL").withColumn("_new", F.row_number().over(Window.orderBy("rank"))).crossJoin(F.broadcast(start)).withColumn("id", F.col("_start") + F.col("_new")).drop("_start", "_new")
+    fresh = numbered(merged.where("_id IS NULL").withColumns({"_t": F.col("rank.t"), "_i": F.col("rank.i")}), [F.col("_t"), F.col("_i")], "_new").drop("_t", "_i")
+    fresh = fresh.crossJoin(F.broadcast(start)).withColumn("id", F.col("_start") + F.col("_new")).drop("_start", "_new")
     out = merged.where("_id IS NOT NULL").withColumn("id", F.col("_id")).unionByName(fresh)
     table = out.select(
         F.col("id").cast("long").alias("id"), F.coalesce("_canonical_url", "canonical_url").alias("canonical_url"), "url_hash", F.coalesce("_domain", "domain").alias("domain"),

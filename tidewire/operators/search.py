@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import is_blank
+from tidewire.operators import extraction, health
 from tidewire.schemas import DATASETS
 
 MAX_LIMIT = 100
@@ -121,6 +122,60 @@ def detail(articles: DataFrame, events: DataFrame, mentions: DataFrame, gkg: Dat
     return header.join(projected(own[2]).withColumnRenamed("article_id", "id"), "id", "left"), rows.orderBy("source_timestamp", "id", "type_order")
 
 
+class NotFound(LookupError):
+    """There is no article with this id."""
+
+
+# The parameters that a request for a list of articles may have.
+LIST_PARAMETERS = ("q", "domain", "firstSeenFrom", "firstSeenTo", "theme", "signalType", "direction", "offset", "limit")
+
+
+def _whole(value: str, name: str) -> int:
+    try:
+        return int(value)
+    except ValueError as e:
+        raise InvalidRequest(f"{name} must be a number") from e
+
+
+class Facade:
+    """The requests of a caller, as texts, over the tables: what is unknown or malformed raises InvalidRequest."""
+
+    def __init__(self, articles: DataFrame, events: DataFrame, mentions: DataFrame, gkg: DataFrame):
+        self.tables = (articles, events, mentions, gkg)
+
+    def latest_articles(self, **parameters: str) -> tuple[DataFrame, DataFrame]:
+        """search() by the parameters of LIST_PARAMETERS."""
+        for name in parameters:
+            if name not in LIST_PARAMETERS:
+                raise InvalidRequest(f"unknown parameter: {name}")
+        get = parameters.get
+        criteria = Criteria(get("q"), get("domain"), parse_instant(get("firstSeenFrom")), parse_instant(get("firstSeenTo")), get("theme"), get("signalType"), get("direction", "desc"))
+        return search(*self.tables, criteria, _whole(get("offset", "0"), "offset"), _whole(get("limit", "20"), "limit"))
+
+    def article_detail(self, article_id: str) -> tuple[DataFrame, DataFrame]:
+        """detail(); NotFound if there is no such article."""
+        header, signals = detail(*self.tables, _whole(article_id, "id"))
+        if header.isEmpty():
+            raise NotFound(article_id)
+        return header, signals
+
+    def top_domains(self, limit: str = "10") -> DataFrame:
+        return top_domains(self.tables[0], _whole(limit, "limit"))
+
+    def top_themes(self, limit: str = "10") -> DataFrame:
+        return top_themes(self.tables[3], _whole(limit, "limit"))
+
+    def extraction_health(self, extraction_errors: DataFrame, processing_errors: DataFrame) -> dict[str, DataFrame]:
+        """Signals per type, latest processed, open errors and pending signals."""
+        found = extraction.signals(*self.tables[1:])
+        return {
+            "signals": health.signals_per_type(found),
+            "latest_processed": health.latest_processed(found, extraction_errors, processing_errors),
+            "open_errors": health.open_errors(extraction_errors, processing_errors),
+            "pending": health.pending_signals(found, extraction_errors),
+        }
+
+
 def top_counts(rows: DataFrame, name: Column, limit: int) -> DataFrame:
     """The most frequent values: by count, then name."""
     if not 1 <= limit <= MAX_LIMIT:

@@ -67,9 +67,25 @@ def candidate_inputs(titles: DataFrame, versions: DataFrame, current: DataFrame)
     return wanted.join(now, ["clustering_version_id", "article_ref"], "left").withColumn("changed", ~F.col("_current").eqNullSafe(F.col("article_input_fingerprint"))).drop("_current")
 
 
+def stale_inputs(articles: DataFrame, gkg: DataFrame, versions: DataFrame, current: DataFrame, now: Column, repair: bool = False, limit: int | None = None) -> DataFrame:
+    """article_id, article_ref, clustering_version_id, why: the inputs that a run has to look at again, in that order.
+
+    Every article under every shadow version: without a current input (NEW), changed since (CHANGED: the article, or the
+    latest of its records, else its creation, is younger than the input), or with an embedding that may be tried (RETRY).
+    """
+    latest = gkg.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max("created_at").alias("_latest"))
+    a = articles.select(F.col("id").alias("article_id"), hashing.article_ref(F.col("url_hash")).alias("article_ref"), F.col("created_at").alias("_made"), F.col("updated_at").alias("_updated")).join(latest, "article_id", "left")
+    a = a.crossJoin(F.broadcast(versions.where("status = 'SHADOW'").select("clustering_version_id")))
+    own = current.where("current_marker = 1").select("clustering_version_id", "article_ref", F.col("created_at").alias("_input"), F.col("embedding_status").alias("status"), "attempt_count", "next_retry_at")
+    j = a.join(own, ["clustering_version_id", "article_ref"], "left")
+    why = F.when(F.col("_input").isNull(), "NEW").when((F.col("_updated") > F.col("_input")) | (F.coalesce("_latest", "_made") > F.col("_input")), "CHANGED").when(retry_due(now, repair), "RETRY")
+    out = j.select("article_id", "article_ref", "clustering_version_id", why.alias("why")).where("why IS NOT NULL")
+    return out.orderBy("article_id", "clustering_version_id").limit(limit) if limit else out
+
+
 def missing_artifacts(candidates: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifact keys that usable inputs need and nobody has: each once, so equal titles cost one model call."""
-    return candidates.where("title_usability = 'USABLE'").select(*ARTIFACT_KEY, "normalized_title").dropDuplicates(ARTIFACT_KEY).join(artifacts.select(*ARTIFACT_KEY), ARTIFACT_KEY, "left_anti")
+    return candidates.where("title_usability = 'USABLE'").groupBy(*ARTIFACT_KEY).agg(F.min("normalized_title").alias("normalized_title")).join(artifacts.select(*ARTIFACT_KEY), ARTIFACT_KEY, "left_anti")
 
 
 def retry_due(now: Column, repair: bool) -> Column:

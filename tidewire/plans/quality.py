@@ -34,7 +34,7 @@ def feature_frequency(rows: DataFrame, ident: str, values: Column, feature: str)
 
 def title_duplicates(rows: DataFrame, title: Column) -> DataFrame:
     """One row: groups of equal titles (whatever the case), rows in them, rows too many, unique, generic and short titles."""
-    key = F.lower(title)
+    key = text.casefold(title)
     each = rows.where(title.isNotNull()).groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("n"))
     short = F.size(F.split(F.trim("_k"), r"\s+")) < 4
     many = F.col("n") > 1
@@ -45,6 +45,32 @@ def title_duplicates(rows: DataFrame, title: Column) -> DataFrame:
     )
 
 
+def top_titles(rows: DataFrame, title: Column, k: int = 20) -> DataFrame:
+    """The most frequent titles, whatever the case: by count, then title."""
+    return rows.where(title.isNotNull()).groupBy(text.casefold(title).alias("title")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "title").limit(k)
+
+
+def article_features(articles: DataFrame, events: DataFrame, mentions: DataFrame, gkg: DataFrame) -> DataFrame:
+    """A row per article (id): what its signals hold and when they came. Each table is summed by article before it is joined."""
+    span = lambda p: [f(c).alias(f"{p}_{n}") for c, n in (("source_timestamp", ""), ("ingested_at", "ingested_")) for f, n in ((F.min, n + "first"), (F.max, n + "last"))]
+    of = lambda t, *aggs: t.where("article_id IS NOT NULL").groupBy("article_id").agg(*aggs)
+    n = F.count(F.lit(1))
+    e = of(events, n.alias("event_count"), F.count_distinct("global_event_id").alias("event_global_ids"), F.count_distinct("event_code").alias("event_codes"), *span("event"))
+    m = of(mentions, n.alias("mention_count"), F.count_distinct("global_event_id").alias("mention_global_ids"), *span("mention"))
+    any_of = lambda c: F.bool_or(F.size(F.coalesce(c, F.array())) > 0).alias(f"has_{c}")
+    titled, dated = F.trim(F.coalesce("page_title", F.lit(""))) != "", F.col("page_precise_pub_timestamp").isNotNull()
+    firsts = [F.min(F.when(ok, F.col(c))).alias(name) for ok, c, name in ((titled, "source_timestamp", "title_first"), (dated, "source_timestamp", "published_signal_first"), (titled, "ingested_at", "title_ingested_first"), (dated, "ingested_at", "published_ingested_first"))]
+    g = of(gkg, n.alias("gkg_count"), *[any_of(c) for c in ("themes", "persons", "organizations", "locations")], *span("gkg"), *firsts)
+    ids = events.select("article_id", "global_event_id").unionByName(mentions.select("article_id", "global_event_id"))
+    out = articles.select(F.col("id").alias("article_id"))
+    for part in (e, m, g, of(ids, F.count_distinct("global_event_id").alias("global_ids"))):
+        out = out.join(part, "article_id", "left")
+    counts = ["event_count", "mention_count", "gkg_count", "event_global_ids", "mention_global_ids", "event_codes", "global_ids"]
+    flags = [f"has_{c}" for c in ("themes", "persons", "organizations", "locations")]
+    ends = {"last_signal_at": F.greatest("event_last", "mention_last", "gkg_last"), "first_ingested_at": F.least("event_ingested_first", "mention_ingested_first", "gkg_ingested_first"), "last_ingested_at": F.greatest("event_ingested_last", "mention_ingested_last", "gkg_ingested_last")}
+    return out.select("article_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], *[c.alias(k) for k, c in ends.items()], "title_first", "published_signal_first", "title_ingested_first", "published_ingested_first")
+
+
 def lateness_hours(first: Column, last: Column) -> Column:
     return (F.unix_micros(last) - F.unix_micros(first)) / F.lit(3.6e9)
 

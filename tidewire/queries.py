@@ -6,13 +6,16 @@ and labels are articles' embeddings and stories. Times that a table lacks are de
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidewire import schemas
 from tidewire.functions import hashing, text, tsv, url, vectors
+from tidewire.lineage import fresh_path
 from tidewire.operators import extraction, health, retention, search, staging, views
 from tidewire.plans import clusters, evaluation, inputs, pairs, quality, snapshots
 from tidewire.sources import masterfile, store
@@ -312,18 +315,23 @@ def retention_health(spark, sf_dir):
 
 # --- file lists and parsing -----------------------------------------------------------------------------------------
 
-_FILES = """f AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS w, event_type AS t FROM events WHERE event_type IN ('click', 'view', 'signup'))"""
+_FILES = """f AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS w, event_type AS t, arg_max(event_id % 7, event_id) AS host FROM events WHERE event_type IN ('click', 'view', 'signup') GROUP BY 1, 2)"""
 
 
 def _lines(spark, sf_dir) -> DataFrame:
+    """A line an event; several of a window name files of different hosts, and the last line counts."""
     suffix = F.create_map(*[F.lit(x) for kv in (("click", "export.CSV.zip"), ("view", "mentions.CSV.zip"), ("signup", "gkg.csv.zip"), ("error", "gkg.CSV.zip")) for x in kv])
     at = F.date_format(F.window("ts", "15 minutes")["start"], "yyyyMMddHHmmss")
-    return load(spark, sf_dir, "events").where("event_type != 'purchase'").select(F.concat(F.lit("10 abc  http://data.example/v2/"), at, F.lit("."), suffix[F.col("event_type")]).alias("value"))
+    url = F.concat(F.lit("10 abc  http://data"), (6 - F.col("event_id") % 7).cast("string"), F.lit(".example/v2/"), at, F.lit("."), suffix[F.col("event_type")])
+    return load(spark, sf_dir, "events").where("event_type != 'purchase'").select(url.alias("value"), F.col("event_id").alias("line"))
 
 
-@query(f"WITH {_FILES} SELECT {_TS.format('w')} AS source_timestamp FROM f GROUP BY w HAVING count(*) = 3")
+@query(f"""WITH {_FILES} SELECT {_TS.format('w')} AS source_timestamp, 'http://data' || (6 - max(host) FILTER (t = 'click')) || '.example/v2/' || strftime(w, '%Y%m%d%H%M%S') || '.export.CSV.zip' AS events_url,
+ 'http://data' || (6 - max(host) FILTER (t = 'view')) || '.example/v2/' || strftime(w, '%Y%m%d%H%M%S') || '.mentions.CSV.zip' AS mentions_url, 'http://data' || (6 - max(host) FILTER (t = 'signup')) || '.example/v2/' || strftime(w, '%Y%m%d%H%M%S') || '.gkg.csv.zip' AS gkg_url
+ FROM f GROUP BY w HAVING count(*) = 3""")
 def complete_windows(spark, sf_dir):
-    return masterfile.complete_windows(masterfile.files(_lines(spark, sf_dir))).select(stamp(F.col("source_timestamp")).alias("source_timestamp"))
+    w = masterfile.complete_windows(masterfile.files(_lines(spark, sf_dir)))
+    return w.select(stamp(F.col("source_timestamp")).alias("source_timestamp"), *[F.col("files")[n].alias(f"{n.lower()}_url") for n in ("EVENTS", "MENTIONS", "GKG")])
 
 
 @query(f"""WITH {_FILES}, n AS (SELECT w FROM f GROUP BY w HAVING count(*) = 3 ORDER BY w DESC LIMIT 4), x AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS w FROM events WHERE event_type = 'error' ORDER BY w LIMIT 20)
@@ -398,10 +406,21 @@ def publication_quality(spark, sf_dir):
     return quality.publication_quality(_published(spark, sf_dir), "id", "extras", "document_date")
 
 
-@query(f"SELECT page_id, nullif(trim(regexp_replace({_TITLE}, '[\\s]+', ' ', 'g')), '') AS title FROM pages WHERE NOT contains({_TITLE}, '&')")
+@query(f"SELECT page_id, nullif(trim(regexp_replace(replace({_TITLE}, '&amp;', '&'), '[\\s]+', ' ', 'g')), '') AS title FROM pages")
 def html_titles(spark, sf_dir):
-    t = _titled(spark, sf_dir).where(~F.contains("page_title", F.lit("&")))
-    return t.select("page_id", text.title_input(F.col("page_title"), plain=True).alias("title"))
+    """All titles; the only entity that the tables have is &amp;, so SQL can say the same."""
+    return _titled(spark, sf_dir).select("page_id", text.title_input(F.col("page_title")).alias("title"))
+
+
+@query(f"SELECT page_id, nullif(trim(regexp_replace({_TITLE}, '[\\s]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(replace(lower({_TITLE}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), '') AS key FROM pages")
+def corpus_titles(spark, sf_dir):
+    t = _titled(spark, sf_dir)
+    return t.select("page_id", text.title_input(F.col("page_title"), unescape=False).alias("title"), F.nullif(text.word_key(F.col("page_title")), F.lit("")).alias("key"))
+
+
+@query(f"SELECT replace(lower({_TITLE}), 'ß', 'ss') AS title, count(*) AS rows FROM pages GROUP BY 1 ORDER BY rows DESC, title LIMIT 20")
+def top_titles(spark, sf_dir):
+    return quality.top_titles(_titled(spark, sf_dir), F.col("page_title"))
 
 
 @query()
@@ -449,7 +468,7 @@ LOOSE = 0.3
 
 
 def _decided(spark, sf_dir, hours: int, threshold: float) -> DataFrame:
-    return pairs.ranked(pairs.decisions(pairs.scored_pairs(members(spark, sf_dir), hours), threshold))
+    return pairs.ranked(pairs.pair_decisions(members(spark, sf_dir), hours, threshold))
 
 
 def _cosine_pairs(hours: int) -> Query:
@@ -478,17 +497,13 @@ def top1_uncertain(spark, sf_dir):
 @query(f"WITH {_decided_sql(24, LOOSE)}, n AS (SELECT DISTINCT unnest([left_ref, right_ref]) AS r FROM d WHERE result = 'SAME_STORY') SELECT (SELECT count(*) FROM m) AS members, (SELECT count(*) FROM p) AS compared, (SELECT count(*) FROM n) AS changed, (SELECT count(*) FROM m) - (SELECT count(*) FROM n) AS skipped")
 def pair_search_report(spark, sf_dir):
     m = members(spark, sf_dir)
-    p = pairs.scored_pairs(m, 24)
-    return pairs.search_report(m, p, pairs.decisions(p, LOOSE))
+    return pairs.search_report(m, 24, pairs.pair_decisions(m, 24, LOOSE))
 
 
 @query(f"WITH {_decided_sql(24, LOOSE)} SELECT left_ref, right_ref, similarity::DOUBLE AS similarity, result FROM d")
 def preselected_decisions(spark, sf_dir):
-    """The blocked form: matrix products preselect, exact scores decide."""
-    m = members(spark, sf_dir)
-    keep = pairs.preselected_pairs(m, 24, LOOSE)
-    scored = pairs.scored_pairs(m, 24).join(keep, ["left_ref", "right_ref"], "left_semi")
-    return pairs.decisions(scored, LOOSE).select("left_ref", "right_ref", F.col("similarity").cast("double").alias("similarity"), "result")
+    """Matrix products of blocks preselect, and exact scores decide among what they let through."""
+    return pairs.pair_decisions(members(spark, sf_dir), 24, LOOSE).select("left_ref", "right_ref", F.col("similarity").cast("double").alias("similarity"), "result")
 
 
 _F = lambda name, value: f"'{name}=' || strlen({value}) || ':' || {value} || chr(10)"
@@ -501,20 +516,39 @@ def decision_hashes(spark, sf_dir):
 
 
 _AT = "strftime(at_time, '%Y-%m-%dT%H:%M:%SZ')"
-_WATER = "2024-01-05 00:00:00"
+_WATER = "2040-01-01 00:00:00"
 
 
 @query(f"""WITH m AS (SELECT printf('article-%08d', vec_id) AS r, TIMESTAMP '2024-01-01' + vec_id * INTERVAL 15 MINUTE AS at_time, sha256(vec_id::VARCHAR) AS f, sha256('v' || vec_id) AS h FROM embeddings),
- s AS (SELECT string_agg({_F('article_ref', 'r')} || {_F('effective_at', _AT)} || {_F('fingerprint', 'f')} || {_F('vector', 'h')}, '' ORDER BY at_time, r) AS body, count(*) AS members FROM m WHERE at_time <= TIMESTAMP '{_WATER}'),
- i AS (SELECT sha256({_F('version', "'shadow-24h'")} || {_F('watermark', "'2024-01-05T00:00:00Z'")} || body) AS input_hash, members FROM s)
- SELECT input_hash, members, sha256({_F('version', "'shadow-24h'")} || {_F('watermark', "'2024-01-05T00:00:00Z'")} || {_F('input', 'input_hash')}) AS snapshot_key FROM i""")
+ s AS (SELECT (row_number() OVER (ORDER BY at_time, r) - 1) // 1024 AS b, at_time, r, {_F('article_ref', 'r')} || {_F('effective_at', _AT)} || {_F('fingerprint', 'f')} || {_F('vector', 'h')} AS body FROM m WHERE at_time <= TIMESTAMP '{_WATER}'),
+ x AS (SELECT b, sha256(string_agg(body, '' ORDER BY at_time, r)) AS h, count(*) AS n FROM s GROUP BY b),
+ t AS (SELECT CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS top, sum(n)::BIGINT AS members FROM x),
+ i AS (SELECT sha256({_F('version', "'shadow-24h'")} || {_F('watermark', "'2040-01-01T00:00:00Z'")} || top) AS input_hash, members FROM t)
+ SELECT input_hash, members, sha256({_F('version', "'shadow-24h'")} || {_F('watermark', "'2040-01-01T00:00:00Z'")} || {_F('input', 'input_hash')}) AS snapshot_key FROM i""")
 def snapshot_hash(spark, sf_dir):
+    """A tree of blocks of 1,024 members; this SQL has two levels, for up to a million members."""
     v = load(spark, sf_dir, "embeddings")
     water = F.lit(_WATER).cast("timestamp")
     m = v.select(F.format_string("article-%08d", "vec_id").alias("article_ref"), derived_time("vec_id").alias("effective_at"), F.sha2(F.col("vec_id").cast("string"), 256).alias("article_input_fingerprint"), F.sha2(F.concat(F.lit("v"), "vec_id"), 256).alias("vector_hash"))
     return snapshots.snapshot(m.where(F.col("effective_at") <= water), F.lit("shadow-24h"), water)
 
 
+@query(f"WITH {_decided_sql(24, LOOSE)} SELECT left_ref, right_ref, similarity::DOUBLE AS similarity, result, decision_rank FROM k")
+def snapshot_run(spark, sf_dir):
+    """Freeze, claim, decide, persist under the token, complete; then the decisions that a reader of the run sees."""
+    at = datetime(2024, 1, 1)
+    tables = store.TableStore(spark, fresh_path(spark, "lake"))
+    m = members(spark, sf_dir).withColumns({"article_input_fingerprint": F.sha2("article_ref", 256), "vector_hash": F.sha2(F.col("vector").cast("string"), 256)})
+    version = inputs.ClusteringVersion(1, "shadow-24h", 24, threshold=LOOSE)
+    ledger = snapshots.RunLedger(tables)
+    water = F.lit(_WATER).cast("timestamp")
+    outcomes = [snapshots.run_snapshot(tables, ledger, version, m, water, at) for _ in range(2)]
+    if outcomes != ["COMPLETED", "REUSED"]:
+        raise RuntimeError(f"the second run of a snapshot must be the first one's: {outcomes}")
+    done = ledger.decisions(ledger.runs().first()["run_key"])
+    return done.select("left_ref", "right_ref", F.col("similarity").cast("double").alias("similarity"), "result", F.col("decision_rank").cast("long").alias("decision_rank"))
+
+
 @query("""SELECT page_id, h AS clustering_version_id, sha256(concat_ws(chr(10), 'shadow-' || (24 * h) || 'h', 'title-v1', 'generic-v1', 'hashing', '1', '64', 'article-' || substr(sha256(url), 1, 16),
  strftime(TIMESTAMP '2024-01-01' + page_id * INTERVAL 15 MINUTE, '%Y-%m-%dT%H:%M:%SZ'), 'FIRST_SEEN_AT', url, sha256(url), 'USABLE')) AS fingerprint FROM pages, (VALUES (1), (2), (3)) v(h)""")
 def input_fingerprints(spark, sf_dir):
@@ -547,24 +581,22 @@ def topk_neighbours(spark, sf_dir):
 @query(f"WITH {_NEAR}, w AS (SELECT t.r, t.o FROM t JOIN m a ON a.r = t.r JOIN m b ON b.r = t.o WHERE a.label = b.label) SELECT count(*) AS queries, count(*) FILTER (n <= 10) AS hits, CASE WHEN count(*) = 0 THEN 0 ELSE count(*) FILTER (n <= 10) / count(*) END AS recall FROM w JOIN t USING (r, o)")
 def recall_at_k(spark, sf_dir):
     m = members(spark, sf_dir)
-    p = pairs.scored_pairs(m, 72)
-    ends = p.select(F.col("left_ref").alias("ref"), F.col("right_ref").alias("other"), "cosine").unionByName(p.select(F.col("right_ref").alias("ref"), F.col("left_ref").alias("other"), "cosine"))
-    from pyspark.sql.window import Window
-
-    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.col("cosine").desc(), "other")))
-    lab = m.select("article_ref", "label")
-    truth = ends.select("ref", "other").join(lab.select(F.col("article_ref").alias("ref"), F.col("label").alias("a")), "ref").join(lab.select(F.col("article_ref").alias("other"), F.col("label").alias("b")), "other").where("a = b").select("ref", "other")
+    ranked = pairs.neighbour_ranks(pairs.scored_pairs(m, 72), 10)
+    near = pairs.window_join(m, "effective_at", 72 * 3600, "article_ref", ["label"]).where("left_label = right_label")
+    truth = pairs.both_ends(near.select(F.col("left_article_ref").alias("left_ref"), F.col("right_article_ref").alias("right_ref")))
     return evaluation.recall_at(ranked, truth, 10)
 
 
-_TOKENS = f"t AS (SELECT page_id AS ref, list_distinct(regexp_extract_all(lower({_TITLE}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM pages)"
+_WORDS = f"t AS (SELECT page_id AS ref, TIMESTAMP '2024-01-01' + page_id * INTERVAL 15 MINUTE AS at_time, list_distinct(regexp_extract_all(replace(lower({_TITLE}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')) AS w, sha256(url || page_id) AS tie FROM pages)"
 
 
-@query(f"""WITH {_TOKENS}, s AS (SELECT ref, len(w) AS n, unnest(w) AS w FROM t), p AS (SELECT a.ref, b.ref AS other, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM s a JOIN s b ON a.w = b.w AND a.ref < b.ref GROUP BY 1, 2),
- e AS (SELECT * FROM p UNION ALL SELECT other, ref, similarity FROM p) SELECT ref, other, round(similarity, 9) AS similarity, row_number() OVER (PARTITION BY ref ORDER BY e.similarity DESC, other) AS rank FROM e QUALIFY rank <= 5""")
+@query(f"""WITH {_WORDS}, s AS (SELECT a.ref, b.ref AS other, b.tie, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.ref <> b.ref AND abs(epoch_us(a.at_time) - epoch_us(b.at_time)) <= 24 * 3600000000),
+ r AS (SELECT ref, other, CASE WHEN n = shared THEN 0 ELSE shared / (n - shared) END AS similarity, row_number() OVER (PARTITION BY ref ORDER BY CASE WHEN n = shared THEN 0 ELSE shared / (n - shared) END DESC, tie) AS rank FROM s QUALIFY rank <= 5)
+ SELECT least(ref, other) AS "left", greatest(ref, other) AS "right", round(max(similarity), 9) AS similarity, min(rank) AS rank FROM r GROUP BY 1, 2""")
 def lexical_jaccard_topk(spark, sf_dir):
-    p = evaluation.lexical_pairs(_titled(spark, sf_dir), "page_id", "page_title")
-    return evaluation.lexical_top(p, 5).select("ref", "other", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    p = load(spark, sf_dir, "pages")
+    rows = _titled(spark, sf_dir).select(F.col("page_id").alias("ref"), F.col("source_timestamp").alias("at"), F.col("page_title").alias("title")).join(p.select(F.col("page_id").alias("ref"), F.sha2(F.concat("url", F.col("page_id").cast("string")), 256).alias("tie")), "ref")
+    return evaluation.lexical_top(rows, 24, 5).select("left", "right", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 _JUDGED = f"{_pairs_sql(24)}, j AS (SELECT *, round(c, 6) AS score, CASE WHEN left_ref LIKE '%9' THEN 'UNCERTAIN' WHEN same THEN 'SAME' ELSE 'DIFFERENT' END AS l FROM p)"
@@ -615,11 +647,18 @@ def medoid_clusters(spark, sf_dir):
     return clusters.medoid_clusters(m, pairs.scored_pairs(m, 72).where("similarity >= 0.3"), 0.3, 72)
 
 
-@query("""WITH s AS (SELECT vec_id, label, label % 4 AS d FROM embeddings), f AS (SELECT label, d, min(vec_id) AS v FROM s GROUP BY label, d), o AS (SELECT vec_id, label, vec_id % 4 AS d FROM embeddings),
- g AS (SELECT label, d, min(vec_id) AS v FROM o GROUP BY label, d), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, v) AS k FROM g) SELECT a.label AS story_id, a.v AS left_id, b.v AS right_id FROM n a JOIN n b ON a.label = b.label AND a.v < b.v WHERE a.k <= 3 AND b.k <= 3""")
+@query("""WITH a AS (SELECT vec_id, 'story ' || label AS title, vec_id % 4 AS domain, sha256(vec_id::VARCHAR) AS h FROM embeddings), f AS (SELECT *, row_number() OVER (PARTITION BY title, domain ORDER BY h) AS d FROM a QUALIFY d = 1),
+ n AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY h) AS place FROM f QUALIFY place <= 3), p AS (SELECT 'article-' || substr(h, 1, 16) AS ref, title, place FROM n)
+ SELECT 'pair-' || substr(sha256(least(x.ref, y.ref) || '|' || greatest(x.ref, y.ref)), 1, 16) AS id, x.ref AS "left", y.ref AS "right", x.title AS story FROM p x JOIN p y ON x.title = y.title AND x.place < y.place""")
 def story_corpus_pairs(spark, sf_dir):
-    s = load(spark, sf_dir, "embeddings").select(F.col("label").alias("story_id"), F.col("vec_id").alias("ref"), (F.col("vec_id") % 4).alias("domain"))
-    return evaluation.story_pairs(s).select("story_id", F.col("left").alias("left_id"), F.col("right").alias("right_id"))
+    v = load(spark, sf_dir, "embeddings")
+    h = F.sha2(F.col("vec_id").cast("string"), 256)
+    title = F.concat(F.lit("Story:  "), F.col("label").cast("string"))
+    a = v.select(hashing.article_ref(h).alias("ref"), title.alias("title"), (F.col("vec_id") % 4).alias("domain"), h.alias("url_hash"))
+    stories = v.select("label").distinct().select(F.concat(F.lit("story "), F.col("label").cast("string")).alias("story_id"), F.concat(F.lit("story "), F.col("label").cast("string")).alias("title_key"), F.lit("evaluation").alias("split"))
+    chosen = evaluation.story_articles(a, stories)
+    return evaluation.story_pairs(chosen).join(chosen.select(F.col("ref").alias("left"), F.col("story_id").alias("story")), "left").select("id", "left", "right", "story")
+
 
 
 # --- data quality ---------------------------------------------------------------------------------------------------
@@ -675,24 +714,18 @@ def late_arrival(spark, sf_dir):
 
 def _volumes(minutes: int) -> Query:
     def run(spark, sf_dir):
-        return quality.bucket_volumes(load(spark, sf_dir, "events").where("event_type = 'error'"), "ts", minutes).withColumn("bucket", stamp(F.col("bucket")))
+        return quality.bucket_volumes(load(spark, sf_dir, "events"), "ts", minutes).withColumn("bucket", stamp(F.col("bucket")))
 
     run.__name__ = f"bucket_volumes_{minutes}m"
-    return query(f"WITH b AS (SELECT floor(epoch_us(ts) / {minutes * 60000000})::BIGINT AS b, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), s AS (SELECT unnest(range(min(b), max(b) + 1)) AS b FROM b) SELECT {_TS.format(f'make_timestamp(s.b * {minutes * 60000000})')} AS bucket, coalesce(n, 0) AS rows FROM s LEFT JOIN b ON b.b = s.b")(run)
+    return query(f"WITH b AS (SELECT floor(epoch_us(ts) / {minutes * 60000000})::BIGINT AS b, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(range(min(b), max(b) + 1)) AS b FROM b) SELECT {_TS.format(f'make_timestamp(s.b * {minutes * 60000000})')} AS bucket, coalesce(n, 0) AS rows FROM s LEFT JOIN b ON b.b = s.b")(run)
 
 
 for _m in (15, 60, 360):
     _volumes(_m)
 
 
-@query("WITH d AS (SELECT ts::DATE AS d, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events WHERE user_id % 50 = 1 GROUP BY 1), s AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM d) SELECT strftime(s.d, '%Y-%m-%d') AS day, coalesce(n, 0) AS rows, coalesce(e, 0) AS errors FROM s LEFT JOIN d ON d.d = s.d")
-def daily_breakdown(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").where("user_id % 50 = 1")
-    return quality.daily_breakdown(rows, "ts", errors=F.col("event_type") == "error").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-
 @query("WITH d AS (SELECT ts::DATE AS d, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM d) SELECT strftime(s.d, '%Y-%m-%d') AS day, coalesce(n, 0) AS rows, coalesce(e, 0) AS errors FROM s LEFT JOIN d ON d.d = s.d")
-def daily_breakdown_all(spark, sf_dir):
+def daily_breakdown(spark, sf_dir):
     """All events; daily_breakdown has those of one user in fifty."""
     return quality.daily_breakdown(load(spark, sf_dir, "events"), "ts", errors=F.col("event_type") == "error").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -775,10 +808,7 @@ def tumbling_counts(spark, sf_dir):
 def streaming_tumbling_counts(spark, sf_dir):
     """The same counts by a stream over the file, worked off batch by batch into partial counts that are then added up."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewire-stream-")).rstrip("/") + f"/stream-{id(object())}-{hash(sf_dir) & 0xFFFF}"
-    import uuid
-
-    root += uuid.uuid4().hex
+    root = fresh_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
 
     def work(batch: DataFrame, number: int) -> None:
@@ -788,3 +818,317 @@ def streaming_tumbling_counts(spark, sf_dir):
     tumbling.run_available(tumbling.stream_files(spark, f"{sf_dir}/events.parquet*", schema), work, f"{root}/checkpoint").awaitTermination()
     parts = spark.read.parquet(f"{root}/out")
     return parts.groupBy("window_start", "event_type").agg(F.sum("rows").alias("rows")).withColumn("window_start", stamp(F.col("window_start")))
+
+
+# --- projections, searches and predicates ---------------------------------------------------------------------------
+
+
+def _payload_rows(rows: DataFrame, cells: dict[int, Column], width: int) -> DataFrame:
+    """Payload rows of tab-separated cells, empty where none is given."""
+    raw = F.concat_ws("\t", *[F.coalesce(cells.get(i, F.lit("")).cast("string"), F.lit("")) for i in range(width)])
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return rows.select("id", F.lit(1).cast("long").alias("import_file_id"), F.lit("f").alias("source_file"), at.alias("source_timestamp"), F.col("id").alias("row_number"), raw.alias("raw_tsv"), at.alias("ingested_at"))
+
+
+_NOW = "2024-02-01 00:00:00"
+
+
+def _now() -> Column:
+    return F.lit(_NOW).cast("timestamp")
+
+
+@query("""SELECT event_id AS id, event_id AS global_event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS mention_at, (event_id % 6)::INTEGER AS mention_type, event_type AS mention_source_name,
+ 'https://example.org/' || user_id AS mention_identifier, CASE WHEN event_id % 3 > 0 THEN (event_id % 101)::INTEGER END AS confidence, value - 2 AS tone FROM events WHERE event_id % 10 <> 0""")
+def mention_projection(spark, sf_dir):
+    """A tenth of the rows has a broken number, and is an error instead."""
+    e = load(spark, sf_dir, "events").withColumn("id", F.col("event_id"))
+    at = F.date_format("ts", "yyyyMMddHHmmss")
+    confidence = F.when(F.col("id") % 3 > 0, F.col("id") % 101)
+    kind = F.when(F.col("id") % 10 == 0, F.lit("x")).otherwise((F.col("id") % 6).cast("string"))
+    cells = {0: F.col("id"), 1: at, 2: at, 3: kind, 4: F.col("event_type"), 5: F.concat(F.lit("https://example.org/"), "user_id"), 11: confidence, 13: F.col("value") - 2}
+    good, _ = staging.stage(_payload_rows(e, cells, 16), "MENTIONS", _now())
+    return good.select("id", "global_event_id", stamp(F.col("mention_time_date")).alias("mention_at"), "mention_type", "mention_source_name", "mention_identifier", "confidence", F.col("mention_doc_tone").alias("tone"))
+
+
+@query(r"""SELECT p_partkey AS id, p_partkey || '-1' AS gkg_record_id, 'https://example.org/p/' || p_partkey AS document_identifier, nullif(array_to_string(list_distinct_in_order, '|'), '') AS themes, p_brand AS person,
+ p_retailprice / 100 AS tone, CASE WHEN p_partkey % 2 = 0 THEN 'https://img.example/' || p_partkey END AS main_image_url, CASE WHEN p_partkey % 3 > 0 THEN p_name || ' & ' || p_brand END AS page_title,
+ CASE WHEN p_partkey % 4 = 0 THEN '2024-01-02 03:04:05.000000' END AS published_at
+ FROM (SELECT *, list_filter([p_type, 'B', p_brand], lambda x, i: i = list_position([p_type, 'B', p_brand], x)) AS list_distinct_in_order FROM part)""")
+def gkg_projection(spark, sf_dir):
+    p = load(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    k = F.col("id")
+    image = F.when(k % 2 == 0, F.concat(F.lit("https://img.example/"), k)).otherwise(F.lit("no image"))
+    title = F.when(k % 3 > 0, F.concat(F.lit("<PAGE_TITLE> </PAGE_TITLE><page_title> "), "p_name", F.lit(" &amp; "), "p_brand", F.lit("</page_title>"))).otherwise("")
+    published = F.when(k % 4 == 0, F.lit("<PAGE_PRECISEPUBTIMESTAMP>20240102030405</PAGE_PRECISEPUBTIMESTAMP>")).otherwise(F.lit("<PAGE_PRECISEPUBTIMESTAMP>20990102030405</PAGE_PRECISEPUBTIMESTAMP>"))
+    tone = F.concat((F.col("p_retailprice") / 100).cast("string"), F.lit(",1,2,3,4,5,6"))
+    cells = {0: F.concat(k.cast("string"), F.lit("-1")), 1: F.lit("20240103000000"), 2: F.lit("1"), 4: F.concat(F.lit("https://example.org/p/"), k), 7: F.concat_ws(";", "p_type", F.lit("B"), F.lit(" "), "p_type", "p_brand"), 11: F.col("p_brand"), 15: tone, 18: image, 26: F.concat(title, published)}
+    good, _ = staging.stage(_payload_rows(p, cells, 27), "GKG", _now())
+    return good.select("id", "gkg_record_id", "document_identifier", F.nullif(F.array_join("themes", "|"), F.lit("")).alias("themes"), F.col("persons")[0].alias("person"), F.col("tone_value").alias("tone"), "main_image_url", "page_title", stamp(F.col("page_precise_pub_timestamp")).alias("published_at"))
+
+
+def _customer_articles(spark, sf_dir) -> DataFrame:
+    at = derived_time("c_custkey")
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("https://c.example/"), "c_custkey").alias("canonical_url"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("url_hash"), F.col("c_mktsegment").alias("domain"), at.alias("first_seen_at"), at.alias("created_at"), at.alias("updated_at"))
+
+
+def _part_gkg(spark, sf_dir) -> DataFrame:
+    """Parts as records: of the article with a third of their number, with a title, a time or an image now and then."""
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select(
+        k.alias("id"), F.floor(k / 3).cast("long").alias("article_id"), derived_time("p_partkey").alias("source_timestamp"), derived_time("p_partkey", 30).alias("ingested_at"), derived_time("p_partkey", 45).alias("created_at"),
+        F.when(k % 3 > 0, F.when(k % 5 > 0, F.col("p_name")).otherwise(" ")).alias("page_title"), F.when(k % 4 == 0, derived_time("p_partkey", 5)).alias("page_precise_pub_timestamp"), F.when(k % 2 == 0, F.concat(F.lit("i"), k)).alias("main_image_url"),
+        F.split("p_type", " ").alias("themes"), F.when(k % 7 > 0, F.array("p_brand")).alias("persons"), F.when(k % 2 > 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("organizations"), F.lit(None).cast("array<string>").alias("locations"),
+    )
+
+
+_GKG = """g AS (SELECT p_partkey AS id, p_partkey // 3 AS article_id, TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 15 MINUTE AS at_time, TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 30 MINUTE AS ingested_at, TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 45 MINUTE AS created_at,
+ CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE ' ' END END AS title, CASE WHEN p_partkey % 4 = 0 THEN TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 5 MINUTE END AS published, CASE WHEN p_partkey % 2 = 0 THEN 'i' || p_partkey END AS image, p_type, p_partkey % 7 > 0 AS has_persons, p_partkey % 2 > 0 AS has_orgs FROM part)"""
+
+
+@query(f"WITH {_GKG} SELECT c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM g WHERE g.article_id = c_custkey AND list_contains(string_split(p_type, ' '), 'ECONOMY'))")
+def theme_search(spark, sf_dir):
+    return search.matching(_customer_articles(spark, sf_dir), search.Criteria(theme="ECONOMY"), None, None, _part_gkg(spark, sf_dir)).select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def signal_type_search(spark, sf_dir):
+    mentions = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("article_id"))
+    return search.matching(_customer_articles(spark, sf_dir), search.Criteria(signal_type="MENTIONS", domain="BUILDING"), None, mentions, None).select("id")
+
+
+@query(f"""WITH {_GKG}, t AS (SELECT article_id, arg_min(title, (at_time, id)) FILTER (trim(title) <> '') AS title, arg_min(published, (at_time, id)) FILTER (published IS NOT NULL) AS published, arg_min(image, (at_time, id)) FILTER (image IS NOT NULL) AS image FROM g GROUP BY article_id)
+SELECT article_id, title, {_TS.format('published')} AS published_at, image AS main_image_url, CASE WHEN title IS NOT NULL THEN 'GKG' END AS title_source, CASE WHEN published IS NOT NULL THEN 'GKG_PAGE_PRECISE_PUB_TIMESTAMP' END AS published_at_source,
+ CASE WHEN image IS NOT NULL THEN 'GKG_SHARING_IMAGE' END AS main_image_source FROM t""")
+def provenance_projection(spark, sf_dir):
+    return search.projected(_part_gkg(spark, sf_dir)).withColumn("published_at", stamp(F.col("published_at")))
+
+
+@query(f"""WITH {_GKG}, t AS (SELECT article_id, arg_min(title, (at_time, id)) FILTER (trim(title) <> '') AS title, arg_min(published, (at_time, id)) FILTER (published IS NOT NULL) AS published FROM g GROUP BY article_id),
+ n AS (SELECT c_custkey AS article_id, c_custkey, trim(title) AS title, published FROM customer LEFT JOIN t ON t.article_id = c_custkey)
+SELECT article_id, 'article-' || substr(sha256(c_custkey::VARCHAR), 1, 16) AS article_ref, {_TS.format("coalesce(published, TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 15 MINUTE)")} AS effective_at, CASE WHEN published IS NOT NULL THEN 'PUBLISHED_AT' ELSE 'FIRST_SEEN_AT' END AS effective_at_source,
+ title AS normalized_title, CASE WHEN title IS NULL THEN 'TITLE_MISSING' ELSE 'USABLE' END AS title_usability, CASE WHEN title IS NOT NULL THEN sha256(title) END AS title_input_hash FROM n""")
+def effective_times(spark, sf_dir):
+    return inputs.article_titles(_customer_articles(spark, sf_dir), search.projected(_part_gkg(spark, sf_dir))).withColumn("effective_at", stamp(F.col("effective_at")))
+
+
+_STATES = ("READY", "PENDING", "RETRYABLE_FAILURE", "TERMINAL_FAILURE")
+
+
+def _event_states(spark, sf_dir) -> DataFrame:
+    """Events as artifacts: state, attempts and retry time follow from their number and time."""
+    k = F.col("event_id")
+    state = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (k % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "events").select(k.alias("id"), state.alias("status"), (k % 7).cast("int").alias("attempt_count"), F.when(k % 3 > 0, F.col("ts")).alias("next_retry_at"), "ts", "value")
+
+
+_DUE = "event_id % 4 = 1 OR (event_id % 4 = 2 AND event_id % 7 < 5 AND {})"
+
+
+@query(f"""SELECT event_id AS id, coalesce({_DUE.format("(event_id % 3 > 0 AND ts <= TIMESTAMP '2024-01-15')")}, false) AS incremental, coalesce({_DUE.format("(event_id % 3 = 0 OR ts <= TIMESTAMP '2024-01-15')")}, false) AS repair FROM events""")
+def retry_due(spark, sf_dir):
+    at = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return _event_states(spark, sf_dir).select("id", *[F.coalesce(inputs.retry_due(at, r), F.lit(False)).alias(n) for n, r in (("incremental", False), ("repair", True))])
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'READY' WHEN event_id % 5 = 0 THEN CASE event_id % 4 WHEN 1 THEN 'PENDING' WHEN 2 THEN 'RETRYABLE_FAILURE' ELSE 'TERMINAL_FAILURE' END WHEN event_id % 5 < 3 THEN 'READY' WHEN event_id % 5 = 3 AND event_id % 7 + 1 < 5 THEN 'RETRYABLE_FAILURE' ELSE 'TERMINAL_FAILURE' END AS status,
+ (event_id % 7 + CASE WHEN event_id % 4 > 0 AND event_id % 5 > 0 THEN 1 ELSE 0 END)::INTEGER AS attempt_count, event_id % 4 = 0 AS untouched FROM events""")
+def attempt_outcomes(spark, sf_dir):
+    """One attempt each: a fifth wasn't tried, two fifths came back, the rest failed, in ways that may or may not be tried again."""
+    e = _event_states(spark, sf_dir)
+    key = {"title_normalization_version": F.lit("t"), "title_input_hash": F.sha2(F.col("id").cast("string"), 256), "embedding_model_id": F.lit("m"), "embedding_model_version": F.lit("1"), "embedding_dimension": F.lit(1)}
+    none = {"vector_bytes": F.lit(None).cast("binary"), "vector_hash": F.lit(None).cast("string"), "vector_norm": F.lit(None).cast("decimal(20,10)"), "ready_at": F.lit(None).cast("timestamp")}
+    artifacts = e.withColumns(key | none)
+    turn = F.col("id") % 5
+    outcomes = artifacts.where(turn > 0).select(*key, F.when(turn < 3, F.lit(b"v")).alias("bytes"), F.when(turn < 3, F.lit("h")).alias("hash"), F.when(turn < 3, F.lit(1.0)).alias("norm"), F.when(turn >= 3, F.lit("E")).alias("error"), (turn == 3).alias("retryable"), F.lit(None).cast("int").alias("retry_after"))
+    done = inputs.after_attempt(artifacts, outcomes, _now()).join(artifacts.select("title_input_hash", "id", F.col("attempt_count").alias("_before"), F.col("status").alias("_was")), "title_input_hash")
+    return done.select("id", "status", "attempt_count", ((F.col("_was") == "READY") & (F.col("attempt_count") == F.col("_before"))).alias("untouched"))
+
+
+@query("SELECT DISTINCT sha256(event_type || (event_id % 40)) AS title_input_hash FROM events WHERE event_id % 3 > 0 AND event_id % 40 >= 10")
+def missing_artifacts(spark, sf_dir):
+    h = lambda c: F.sha2(F.concat("event_type", (c % 40).cast("string")), 256)
+    key = {"title_normalization_version": F.lit("t"), "embedding_model_id": F.lit("m"), "embedding_model_version": F.lit("1"), "embedding_dimension": F.lit(1)}
+    e = load(spark, sf_dir, "events").withColumns(key | {"title_input_hash": h(F.col("event_id")), "normalized_title": F.col("event_type"), "title_usability": F.when(F.col("event_id") % 3 > 0, "USABLE").otherwise("TITLE_GENERIC")})
+    return inputs.missing_artifacts(e, e.where("event_id % 40 < 10")).select("title_input_hash")
+
+
+@query(f"""WITH {_GKG}, x AS (SELECT article_id, max(created_at) AS latest FROM g GROUP BY article_id), v AS (SELECT unnest([1, 2, 3]) AS version),
+ a AS (SELECT c_custkey, version, TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 15 MINUTE AS made, latest, CASE WHEN (c_custkey + version) % 4 > 0 THEN TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 100 MINUTE END AS input, ['READY', 'PENDING', 'RETRYABLE_FAILURE', 'TERMINAL_FAILURE'][c_custkey % 4 + 1] AS status, c_custkey % 7 AS n
+       FROM customer CROSS JOIN v LEFT JOIN x ON x.article_id = c_custkey)
+ SELECT c_custkey AS article_id, version::BIGINT AS clustering_version_id, CASE WHEN input IS NULL THEN 'NEW' WHEN made > input OR coalesce(latest, made) > input THEN 'CHANGED' ELSE 'RETRY' END AS why FROM a
+ WHERE input IS NULL OR made > input OR coalesce(latest, made) > input OR status = 'PENDING' OR (status = 'RETRYABLE_FAILURE' AND n < 5 AND input <= TIMESTAMP '{_NOW}')""")
+def stale_inputs(spark, sf_dir):
+    a, versions = _customer_articles(spark, sf_dir), inputs.versions_table(spark)
+    own = a.crossJoin(F.broadcast(versions.select("clustering_version_id"))).where("(id + clustering_version_id) % 4 > 0")
+    state = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (F.col("id") % 4 + 1).cast("int"))
+    at = derived_time("id", 100)
+    current = own.select("clustering_version_id", hashing.article_ref(F.col("url_hash")).alias("article_ref"), at.alias("created_at"), state.alias("embedding_status"), (F.col("id") % 7).cast("int").alias("attempt_count"), at.alias("next_retry_at"), F.lit(1).alias("current_marker"))
+    return inputs.stale_inputs(a, _part_gkg(spark, sf_dir), versions, current, _now()).select("article_id", "clustering_version_id", "why")
+
+
+@query("""SELECT event_id AS id FROM events WHERE event_id % 6 > 0 AND event_id % 5 > 0 AND NOT (event_id % 4 = 0 AND event_id % 8 = 0 AND ts > TIMESTAMP '2024-01-15' - INTERVAL 60 SECOND)""")
+def staging_backlog(spark, sf_dir):
+    """Payloads of completed files, without a typed row, and without a young open error."""
+    e = load(spark, sf_dir, "events").withColumn("id", F.col("event_id"))
+    payloads = e.select("id", (F.col("id") % 6).alias("import_file_id"))
+    files = spark.createDataFrame([(i, "EVENTS", "COMPLETED" if i else "FAILED") for i in range(6)], "id BIGINT, dataset_type STRING, status STRING")
+    errors = e.where("id % 4 = 0").select(F.lit("EVENTS").alias("dataset_type"), F.col("id").alias("source_row_id"), F.col("ts").alias("occurred_at"), F.when(F.col("id") % 8 > 0, F.col("ts")).alias("resolved_at"))
+    return staging.pending(payloads, files, e.where("id % 5 = 0").select("id"), errors, "EVENTS", F.lit("2024-01-15 00:00:00").cast("timestamp")).select("id")
+
+
+@query("SELECT page_id, h AS clustering_version_id, page_id % 2 = 1 OR (page_id % 2 = 0 AND h = 3) AS changed FROM pages, (VALUES (1), (2), (3)) v(h)")
+def changed_inputs(spark, sf_dir):
+    """Pages with an even number have their present fingerprint under two versions; all others differ, or have none."""
+    p = load(spark, sf_dir, "pages").select("page_id", hashing.article_ref(F.sha2(F.col("page_id").cast("string"), 256)).alias("article_ref"), derived_time("page_id").alias("effective_at"), F.lit("FIRST_SEEN_AT").alias("effective_at_source"), F.col("url").alias("normalized_title"), F.sha2("url", 256).alias("title_input_hash"), F.lit("USABLE").alias("title_usability"))
+    none = spark.createDataFrame([], "clustering_version_id BIGINT, article_ref STRING, article_input_fingerprint STRING, current_marker SMALLINT")
+    first = inputs.candidate_inputs(p, inputs.versions_table(spark), none).where("clustering_version_id < 3")
+    mine = F.when(F.col("page_id") % 2 == 0, F.col("article_input_fingerprint")).otherwise(F.lit("x"))
+    current = first.select("clustering_version_id", "article_ref", mine.alias("article_input_fingerprint"), F.lit(1).cast("smallint").alias("current_marker"))
+    return inputs.candidate_inputs(p, inputs.versions_table(spark), current).select("page_id", "clustering_version_id", "changed")
+
+
+@query("""SELECT event_id AS id, sha256('v' || event_id) AS vector_hash FROM events WHERE event_id % 2 > 0 AND event_id % 3 > 0 AND event_id % 5 > 0 AND event_id % 7 > 0 AND ts <= TIMESTAMP '2024-01-15'""")
+def ready_inputs(spark, sf_dir):
+    k = F.col("event_id")
+    e = load(spark, sf_dir, "events")
+    own = e.select(k.alias("id"), k.alias("embedding_artifact_id"), F.when(k % 2 > 0, 1).alias("current_marker"), F.when(k % 3 > 0, "USABLE").otherwise("TITLE_GENERIC").alias("title_usability"), F.lit("READY").alias("embedding_status"), F.col("ts").alias("effective_at"))
+    artifacts = e.select(k.alias("id"), F.when(k % 5 > 0, "READY").otherwise("PENDING").alias("status"), F.when(k % 7 > 0, F.lit(b"v")).alias("vector_bytes"), F.sha2(F.concat(F.lit("v"), k), 256).alias("vector_hash"), F.lit(1.0).alias("vector_norm"))
+    return snapshots.ready_inputs(own, artifacts, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("id", "vector_hash")
+
+
+@query("SELECT event_id AS id, sha256('v' || event_id) AS vector_hash FROM events WHERE event_id % 2 > 0")
+def snapshot_vectors(spark, sf_dir):
+    """Members meet the vectors that they were frozen with; every second artifact has another vector by now."""
+    k = F.col("event_id")
+    e = load(spark, sf_dir, "events")
+    frozen = e.select(k.alias("embedding_artifact_id"), F.sha2(F.concat(F.lit("v"), k), 256).alias("vector_hash"))
+    artifacts = e.select(k.alias("id"), F.lit("READY").alias("status"), F.lit(b"v").alias("vector_bytes"), F.sha2(F.concat(F.when(k % 2 > 0, "v").otherwise("w"), k), 256).alias("vector_hash"), F.lit(1.0).alias("vector_norm"))
+    return snapshots.snapshot_vectors(frozen, artifacts).select(F.col("embedding_artifact_id").alias("id"), "vector_hash")
+
+
+_RUNS = "r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS run_key, l_orderkey AS snapshot_key, CASE l_returnflag WHEN 'R' THEN 'FAILED' WHEN 'A' THEN 'COMPLETED' ELSE 'RUNNING' END AS status, l_shipdate AS claimed_at, l_linenumber % 3 AS v FROM lineitem)"
+
+
+def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(runs, snapshots): line items and orders."""
+    l = load(spark, sf_dir, "lineitem")  # noqa: E741
+    state = F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_returnflag") == "A", "COMPLETED").otherwise("RUNNING")
+    runs = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("run_key"), F.col("l_orderkey").cast("string").alias("snapshot_key"), (F.col("l_linenumber") % 3).cast("string").alias("version_key"), state.alias("status"), F.col("l_shipdate").alias("claimed_at"))
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("snapshot_key"), F.col("o_orderdate").alias("watermark"), F.lit("h").alias("input_hash"), F.lit(1).cast("long").alias("members"))
+    return runs, o
+
+
+@query(f"WITH {_RUNS} SELECT run_key, snapshot_key, status, {_TS.format('o_orderdate')} AS watermark FROM r JOIN orders ON o_orderkey = snapshot_key WHERE v = 1 AND (status = 'FAILED' OR (status = 'RUNNING' AND claimed_at <= TIMESTAMP '2000-01-01' - INTERVAL 30 MINUTE)) ORDER BY o_orderdate, run_key LIMIT 1")
+def oldest_retryable_run(spark, sf_dir):
+    runs, o = _runs(spark, sf_dir)
+    out = snapshots.oldest_retryable(runs, o, F.lit("1"), F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    return out.select("run_key", F.col("snapshot_key").cast("long").alias("snapshot_key"), "status", stamp(F.col("watermark")).alias("watermark"))
+
+
+@query(f"""WITH {_RUNS}, m AS (SELECT o_orderkey % 100 AS k, count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderkey % 100 < 50 GROUP BY 1), x AS (SELECT snapshot_key, count(DISTINCT run_key) AS runs, count(*) FILTER (status = 'COMPLETED') AS completed, arg_max(status, (claimed_at, run_key)) AS latest FROM r GROUP BY 1)
+SELECT o_orderkey AS snapshot_key, coalesce(n, 0) AS stored_members, coalesce(runs, 0) AS runs, coalesce(completed, 0) AS completed, latest AS latest_status FROM orders LEFT JOIN m ON k = o_orderkey LEFT JOIN x ON x.snapshot_key = o_orderkey""")
+def operations_view(spark, sf_dir):
+    runs, o = _runs(spark, sf_dir)
+    stored = load(spark, sf_dir, "orders").where("o_orderkey % 100 < 50").select((F.col("o_orderkey") % 100).cast("string").alias("snapshot_key"), F.col("o_custkey").alias("article_ref"))
+    out = snapshots.operations_view(o, stored, runs)
+    return out.select(F.col("snapshot_key").cast("long").alias("snapshot_key"), "stored_members", "runs", "completed", "latest_status")
+
+
+@query(f"""WITH {_GKG}, e AS (SELECT o_custkey AS a, count(*) AS n, count(DISTINCT o_orderkey % 50) AS ids, count(DISTINCT o_orderpriority) AS codes, max(o_orderdate) AS last FROM orders GROUP BY 1), m AS (SELECT l_suppkey AS a, count(*) AS n, count(DISTINCT l_orderkey % 50) AS ids, max(l_shipdate) AS last FROM lineitem GROUP BY 1),
+ i AS (SELECT a, count(DISTINCT x) AS ids FROM (SELECT o_custkey AS a, o_orderkey % 50 AS x FROM orders UNION ALL SELECT l_suppkey, l_orderkey % 50 FROM lineitem) GROUP BY a),
+ k AS (SELECT article_id AS a, count(*) AS n, bool_or(has_persons) AS persons, bool_or(has_orgs) AS orgs, max(at_time) AS last, min(ingested_at) AS first_in, max(ingested_at) AS last_in, min(at_time) FILTER (trim(title) <> '') AS title_first, min(ingested_at) FILTER (published IS NOT NULL) AS published_in FROM g GROUP BY 1)
+SELECT c_custkey AS article_id, coalesce(e.n, 0) AS event_count, coalesce(m.n, 0) AS mention_count, coalesce(k.n, 0) AS gkg_count, coalesce(e.ids, 0) AS event_global_ids, coalesce(m.ids, 0) AS mention_global_ids, coalesce(e.codes, 0) AS event_codes, coalesce(i.ids, 0) AS global_ids,
+ k.n IS NOT NULL AS has_themes, coalesce(persons, false) AS has_persons, coalesce(orgs, false) AS has_organizations, false AS has_locations, {_TS.format('greatest(e.last, m.last, k.last)')} AS last_signal_at, {_TS.format('first_in')} AS first_ingested_at, {_TS.format('last_in')} AS last_ingested_at, {_TS.format('title_first')} AS title_first, {_TS.format('published_in')} AS published_ingested_first
+FROM customer LEFT JOIN e ON e.a = c_custkey LEFT JOIN m ON m.a = c_custkey LEFT JOIN k ON k.a = c_custkey LEFT JOIN i ON i.a = c_custkey""")
+def article_features(spark, sf_dir):
+    none = F.lit(None).cast("timestamp").alias("ingested_at")
+    events = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("article_id"), (F.col("o_orderkey") % 50).alias("global_event_id"), F.col("o_orderpriority").alias("event_code"), F.col("o_orderdate").alias("source_timestamp"), none)
+    mentions = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("article_id"), (F.col("l_orderkey") % 50).alias("global_event_id"), F.col("l_shipdate").alias("source_timestamp"), none)
+    out = quality.article_features(_customer_articles(spark, sf_dir), events, mentions, _part_gkg(spark, sf_dir)).drop("published_signal_first", "title_ingested_first")
+    return out.withColumns({c: stamp(F.col(c)) for c in ("last_signal_at", "first_ingested_at", "last_ingested_at", "title_first", "published_ingested_first")})
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 2 THEN 0 ELSE 2 END AS places, CASE WHEN s_suppkey % 3 < 2 THEN replace(s_name, '#', '-') END AS name, CASE WHEN s_suppkey % 3 < 2 THEN s_acctbal / 100 END AS latitude FROM supplier")
+def locations_round_trip(spark, sf_dir):
+    """Places to JSON and back, for a third of the rows through a JSON string of the array; another third has no JSON at all."""
+    name = F.regexp_replace("s_name", "#", "-")
+    raw = F.concat(F.lit("1#"), name, F.lit("#US#US1#"), (F.col("s_acctbal") / 100).cast("string"), F.lit("#2.5#9;2##DE##  ##"))
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.locations_json(text.locations(raw)["items"]).alias("j"))
+    twice = F.substring(F.to_json(F.array("j")), F.lit(2), F.length(F.to_json(F.array("j"))) - 2)
+    s = s.withColumn("l", text.locations_from_json(F.when(F.col("id") % 3 == 0, F.col("j")).when(F.col("id") % 3 == 1, twice).otherwise(F.lit("not JSON"))))
+    return s.select("id", F.size("l").alias("places"), F.get("l", F.lit(0))["name"].alias("name"), F.get("l", F.lit(0))["latitude"].alias("latitude"))
+
+
+@query("""SELECT o_orderkey AS id, 'pair-' || substr(sha256(least(a, b) || '|' || greatest(a, b)), 1, 16) AS pair_ref FROM (SELECT o_orderkey, 'article-' || o_custkey AS a, 'article-' || (o_orderkey % 1000) AS b FROM orders)""")
+def pair_refs(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), hashing.pair_ref(F.concat(F.lit("article-"), "o_custkey"), F.concat(F.lit("article-"), F.col("o_orderkey") % 1000)).alias("pair_ref"))
+
+
+@query("""SELECT event_id AS "pairId", event_id % 3 = 0 AND value >= 5 AS "sameStory", event_id % 3 = 0 AS candidate, round(value, 6) AS score FROM events""")
+def baseline_predictions(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("pairId"), F.col("value").alias("score"))
+    return evaluation.predicted(e, e.where("pairId % 3 = 0"), 5.0)
+
+
+_STORIES = """o AS (SELECT label AS s, vec_id AS a, min(vec_id) OVER (PARTITION BY label) AS anchor FROM embeddings), n AS (SELECT CASE WHEN label % 3 = 0 THEN label + 1 WHEN label % 5 = 4 THEN 100 + label + vec_id % 2 ELSE label END AS c, vec_id AS a FROM embeddings WHERE vec_id % 11 > 0),
+ x AS (SELECT s, c, count(*) AS k, bool_or(o.a = anchor) AS h FROM o JOIN n ON o.a = n.a GROUP BY s, c), p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h DESC, k DESC, lpad(c::VARCHAR, 5, '0')) AS home FROM x)"""
+
+
+def _stories(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(old stories, new clusters): labels as they are, and with some joined, some split and some members lost."""
+    v = load(spark, sf_dir, "embeddings")
+    ref = lambda c: F.lpad(c.cast("string"), 5, "0")
+    old = v.select(ref(F.col("label")).alias("story_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.min("vec_id").over(Window.partitionBy("label")).cast("string").alias("anchor_ref"), F.col("vec_id").cast("string").alias("article_ref"))
+    c = F.when(F.col("label") % 3 == 0, F.col("label") + 1).when(F.col("label") % 5 == 4, 100 + F.col("label") + F.col("vec_id") % 2).otherwise(F.col("label"))
+    return old, v.where("vec_id % 11 > 0").select(ref(c).alias("cluster_ref"), F.col("vec_id").cast("string").alias("article_ref"))
+
+
+@query(f"""WITH {_STORIES}, h AS (SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY lpad(s::VARCHAR, 5, '0')) AS n FROM p WHERE home = 1)
+SELECT lpad(c::VARCHAR, 5, '0') AS cluster_ref, lpad(s::VARCHAR, 5, '0') AS kept_story, CASE WHEN n = 1 THEN 'EXTEND' ELSE 'MERGE' END AS action FROM h
+UNION ALL SELECT DISTINCT lpad(c::VARCHAR, 5, '0'), NULL, CASE WHEN c IN (SELECT c FROM p WHERE home > 1) THEN 'SPLIT' ELSE 'CREATE' END FROM n WHERE c NOT IN (SELECT c FROM h)""")
+def story_lineage(spark, sf_dir):
+    old, new = _stories(spark, sf_dir)
+    return clusters.lineage(old, new, "v").select("cluster_ref", F.when(F.col("action").isin("EXTEND", "MERGE"), F.col("story_id")).alias("kept_story"), "action")
+
+
+@query(f"""WITH {_STORIES}, z AS (SELECT s, count(*) AS z FROM o GROUP BY s), q AS (SELECT c, s, k, k / z AS share, row_number() OVER (PARTITION BY c ORDER BY k DESC, k / z DESC, lpad(s::VARCHAR, 5, '0')) AS r FROM x JOIN z USING (s))
+SELECT lpad(c::VARCHAR, 5, '0') AS new_id, lpad(s::VARCHAR, 5, '0') AS old_id, k AS overlap, share FROM q WHERE r = 1""")
+def story_promotion(spark, sf_dir):
+    old, new = _stories(spark, sf_dir)
+    return clusters.promotion_map(old, new.withColumnRenamed("cluster_ref", "story_id"))
+
+
+@query("SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'SUPERSEDED' WHEN epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts)) > 72 * 3600000000 THEN 'CLOSED' ELSE 'ACTIVE' END AS state FROM events GROUP BY user_id")
+def story_states(spark, sf_dir):
+    s = load(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_member_at")).withColumn("superseded_by", F.when(F.col("user_id") % 5 == 0, F.lit("other")))
+    return clusters.story_states(s, _now()).select("user_id", "state")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'NO_INPUT' WHEN c_custkey % 7 = 1 THEN 'TITLE_MISSING' WHEN c_custkey % 7 = 2 THEN 'EMBEDDING_FAILED' WHEN c_custkey % 7 = 3 THEN 'EMBEDDING_PENDING' ELSE 'NO_SIMILAR_ARTICLE' END AS reason FROM customer WHERE c_custkey % 2 > 0""")
+def unassigned_articles(spark, sf_dir):
+    a = _customer_articles(spark, sf_dir).select(F.col("id").cast("string").alias("article_ref"), "id")
+    turn = F.col("id") % 7
+    own = a.where(turn > 0).select("article_ref", F.when(turn == 1, "TITLE_MISSING").otherwise("USABLE").alias("title_usability"), F.when(turn == 2, "TERMINAL_FAILURE").when(turn == 3, "PENDING").otherwise("READY").alias("embedding_status"))
+    return clusters.unassigned(a.select("article_ref"), a.where("id % 2 = 0"), own).select(F.col("article_ref").cast("long").alias("id"), "reason")
+
+
+@query("SELECT (SELECT count(*) FROM pages) AS signals, 0::BIGINT AS left_over, 0::BIGINT AS relinked")
+def extraction_rerun(spark, sf_dir):
+    """A second extraction finds nothing to do."""
+    p = page_signals(spark, sf_dir)
+    found = p.select(F.lit("GKG").alias("signal_type"), F.col("page_id").alias("source_id"), F.col("ts").alias("source_timestamp"), "raw_url", F.lit(None).cast("long").alias("article_id"))
+    none, errors = spark.createDataFrame([], schemas.ARTICLES), spark.createDataFrame([], schemas.EXTRACTION_ERRORS)
+    out = extraction.extract(found, none, _now())
+    done = found.drop("article_id").join(out["links"].drop("signal_type"), "source_id", "left")
+    again = extraction.unlinked(done, errors.unionByName(out["errors"], allowMissingColumns=True))
+    later = extraction.extract(again, out["articles"], _now())
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(found, "signals").crossJoin(n(again, "left_over")).crossJoin(n(later["links"], "relinked"))  # one row each
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'https://img.example/' || s_suppkey || '.png' WHEN s_suppkey % 4 = 1 THEN 'HTTP://img.example/x?y=' || s_suppkey END AS image_url FROM supplier")
+def sharing_images(spark, sf_dir):
+    k = F.col("s_suppkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("  https://img.example/"), k, F.lit(".png "))).when(k % 4 == 1, F.concat(F.lit("HTTP://img.example/x?y="), k)).when(k % 4 == 2, F.concat(F.lit("/img/"), k)).otherwise(F.concat(F.lit("https://img.example/"), F.lpad(k.cast("string"), 2100, "0")))
+    return load(spark, sf_dir, "supplier").select(k.alias("id"), text.image_url(raw).alias("image_url"))

@@ -20,6 +20,8 @@ EXTRACTION_ERRORS = "id BIGINT, signal_type STRING, source_id BIGINT, source_tim
 PROCESSING_ERRORS = "id BIGINT, dataset_type STRING, source_row_id BIGINT, import_file_id BIGINT, source_file STRING, source_timestamp TIMESTAMP, row_number BIGINT, failed_step STRING, error_code STRING, error_message STRING, occurred_at TIMESTAMP, resolved_at TIMESTAMP"
 ARTICLE_INPUTS = "id BIGINT, clustering_version_id BIGINT, article_id BIGINT, article_ref STRING, effective_at TIMESTAMP, effective_at_source STRING, normalized_title STRING, title_input_hash STRING, title_usability STRING, article_input_fingerprint STRING, embedding_status STRING, embedding_artifact_id BIGINT, attempt_count INT, next_retry_at TIMESTAMP, current_marker SMALLINT, created_at TIMESTAMP, superseded_at TIMESTAMP"
 
+ARTIFACTS = "id BIGINT, title_normalization_version STRING, title_input_hash STRING, embedding_model_id STRING, embedding_model_version STRING, embedding_dimension INT, normalized_title STRING, status STRING, vector_bytes BINARY, vector_hash STRING, vector_norm DECIMAL(20,10), attempt_count INT, next_retry_at TIMESTAMP, ready_at TIMESTAMP"
+
 #: dataset -> (the column of its URL, number of columns a row needs, suffix of its files)
 DATASETS = {
     "EVENTS": ("source_url", 61, "export.CSV.zip"),

@@ -13,22 +13,22 @@ _SUFFIX = "|".join(suffix.replace(".", r"\.") for _, _, suffix in DATASETS.value
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A landed copy of the list as text lines."""
-    return spark.read.text(path)
+    """A landed copy of the list as text lines, numbered in the order of the file."""
+    return spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
 
 
 def files(lines: DataFrame) -> DataFrame:
-    """lines (value) -> source_timestamp, dataset_type, url. The last word of a line is the URL; other lines are dropped."""
+    """lines (value, line) -> source_timestamp, dataset_type, url, line. The last word of a line is the URL; other lines are dropped."""
     url = F.element_at(F.split(control_trim(F.col("value")), r"\s+"), -1)
     stamp, suffix = (F.regexp_extract(url, rf"^(?:.*/)?([0-9]{{14}})\.({_SUFFIX})$", i) for i in (1, 2))
     kind = F.create_map(*[F.lit(x) for name, (_, _, s) in DATASETS.items() for x in (s, name)])
-    found = lines.select(url.alias("url"), stamp.alias("_stamp"), suffix.alias("_suffix")).where("_stamp != ''")
-    return found.select(lenient_timestamp(F.col("_stamp")).alias("source_timestamp"), kind[F.col("_suffix")].alias("dataset_type"), "url").where("source_timestamp IS NOT NULL")
+    found = lines.select(url.alias("url"), stamp.alias("_stamp"), suffix.alias("_suffix"), "line").where("_stamp != ''")
+    return found.select(lenient_timestamp(F.col("_stamp")).alias("source_timestamp"), kind[F.col("_suffix")].alias("dataset_type"), "url", "line").where("source_timestamp IS NOT NULL")
 
 
 def complete_windows(found: DataFrame, datasets: tuple[str, ...] = tuple(DATASETS)) -> DataFrame:
-    """Windows for which every dataset has a file: source_timestamp and a map of dataset to URL (the last of several)."""
-    each = found.where(F.col("dataset_type").isin(*datasets)).groupBy("source_timestamp", "dataset_type").agg(F.max("url").alias("url"))
+    """Windows for which every dataset has a file: source_timestamp and a map of dataset to URL (that of the last line, if there are several)."""
+    each = found.where(F.col("dataset_type").isin(*datasets)).groupBy("source_timestamp", "dataset_type").agg(F.max_by("url", "line").alias("url"))
     windows = each.groupBy("source_timestamp").agg(F.count(F.lit(1)).alias("_n"), F.map_from_entries(F.collect_list(F.struct("dataset_type", "url"))).alias("files"))
     return windows.where(F.col("_n") == len(datasets)).drop("_n")
 

@@ -1,9 +1,11 @@
-"""Tables as versioned Parquet folders with a pointer, since plain Parquet has no update: keyed merges write a new version."""
+"""Tables as versioned Parquet folders with a pointer, since plain Parquet has no update: keyed merges add parts."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from functools import reduce
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,11 @@ from pyspark.sql import functions as F
 
 
 class TableStore:
-    """One writer at a time. A version is complete before the pointer names it, so readers never see half of one."""
+    """One writer at a time for a table. A version is complete before the pointer names it, and the pointer is moved into
+    its place, so readers never see half of one. Merges add a part that is folded in when the table is read; after
+    FOLD parts the table is written anew."""
+
+    FOLD = 8
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,40 +27,114 @@ class TableStore:
     def _pointer(self, name: str) -> str:
         return f"{self.base}/{name}/CURRENT"
 
+    def _load(self, path: str) -> dict:
+        with self.files.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _exists(self, path: str) -> bool:
+        return self.files.get_file_info(path).type != fs.FileType.NotFound
+
+    def _current(self, name: str) -> dict | None:
+        return self._load(self._pointer(name)) if self._exists(self._pointer(name)) else None
+
     def version(self, name: str) -> str | None:
-        if self.files.get_file_info(self._pointer(name)).type == fs.FileType.NotFound:
-            return None
-        with self.files.open_input_stream(self._pointer(name)) as f:
-            return json.loads(f.read())["version"]
+        current = self._current(name)
+        return None if current is None else current["version"]
 
     def read(self, name: str) -> DataFrame | None:
-        v = self.version(name)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{name}/{v}")
+        current = self._current(name)
+        if current is None:
+            return None
+        df = self.spark.read.parquet(f"{self.root}/{name}/{current['version']}")
+        for part in current.get("parts", []):
+            df = merge_keyed(df, self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{part['path']}"), part["keys"], part["rule"])
+        return df
+
+    def _point(self, name: str, current: dict) -> None:
+        beside = f"{self._pointer(name)}-{uuid.uuid4().hex}"
+        with self.files.open_output_stream(beside) as f:
+            f.write(json.dumps(current).encode())
+        self.files.move(beside, self._pointer(name))
 
     def write(self, name: str, df: DataFrame) -> str:
         v = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{v}")
-        with self.files.open_output_stream(self._pointer(name)) as f:
-            f.write(json.dumps({"version": v}).encode())
+        self._point(name, {"version": v})
         return v
 
+    def part(self, name: str, key: str) -> str:
+        return f"{self.root}/{name}/{key}"
+
     def write_once(self, name: str, key: str, df: DataFrame) -> bool:
         """An immutable part named by its content key: written only if it isn't there yet."""
-        if self.files.get_file_info(f"{self.base}/{name}/{key}/_SUCCESS").type != fs.FileType.NotFound:
+        if self._exists(f"{self.base}/{name}/{key}/_SUCCESS"):
             return False
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{key}")
+        df.write.mode("overwrite").parquet(self.part(name, key))
         return True
 
     def merge(self, name: str, updates: DataFrame, keys: list[str], rule: str = "replace") -> str:
-        current = self.read(name)
-        return self.write(name, updates if current is None else merge_keyed(current, updates, keys, rule))
+        """Take updates in by keys. Repeated keys in the updates raise: which of them should win is the caller's to say."""
+        current = self._current(name)
+        if current is None:
+            return self.write(name, updates)
+        path = f"p-{uuid.uuid4().hex}"
+        updates.write.parquet(f"{self.root}/{name}/{path}")
+        stored = self.spark.read.parquet(f"{self.root}/{name}/{path}")
+        twice = stored.groupBy(*keys).count().where("count > 1").select(*keys).first()
+        if twice is not None:
+            raise ValueError(f"{name}: several updates of {tuple(twice)}")
+        parts = [*current.get("parts", []), {"path": path, "keys": keys, "rule": rule}]
+        self._point(name, {"version": current["version"], "parts": parts})
+        return self.write(name, self.read(name)) if len(parts) >= self.FOLD else path
+
+    def names(self, folder: str) -> list[str]:
+        if not self._exists(f"{self.base}/{folder}"):
+            return []
+        return sorted(i.base_name for i in self.files.get_file_info(fs.FileSelector(f"{self.base}/{folder}")) if i.type == fs.FileType.Directory)
+
+    def small_files(self, folder: str) -> dict[str, dict]:
+        """The small files of a folder by name."""
+        if not self._exists(f"{self.base}/{folder}"):
+            return {}
+        found = self.files.get_file_info(fs.FileSelector(f"{self.base}/{folder}"))
+        return {i.base_name: self._load(i.path) for i in found if i.type == fs.FileType.File and i.base_name.startswith(("claim-", "end-"))}
+
+    def create_small(self, path: str, content: dict) -> bool:
+        """Create a small file, whole, unless it is there: of several that try, one succeeds. False for the others.
+
+        The content is written beside it and linked or renamed without replacing, by Hadoop's file system, or by the
+        operating system for a local folder.
+        """
+        target = f"{self.base}/{path}"
+        self.files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        data = json.dumps(content).encode()
+        beside = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(beside) as f:
+            f.write(data)
+        if isinstance(self.files, fs.LocalFileSystem):
+            try:
+                os.link(beside, target)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(beside)
+        jvm, scheme = self.spark._jvm, self.root.split("://")[0] + "://" if "://" in self.root else ""
+        place = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p.removeprefix(self.base + '/')}" if scheme else p)
+        hadoop = place(target).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = bool(hadoop.rename(place(beside), place(target)))
+        if not done:
+            self.files.delete_file(beside)
+        return done
 
 
 def merge_keyed(current: DataFrame, updates: DataFrame, keys: list[str], rule: str = "replace") -> DataFrame:
-    """Full outer join on the keys. rule `replace`: an update's values win; `keep`: the row that is there wins; `fill`: nulls are filled."""
+    """Full outer join on the keys, nulls being equal. rule `replace`: an update's values win; `keep`: the row that is there
+    wins; `fill`: nulls are filled. Keys are distinct in the updates."""
     rest = [c for c in current.columns if c not in keys]
-    old, new = current.select(*keys, F.struct(*rest).alias("_old")), updates.select(*keys, F.struct(*rest).alias("_new"))
-    both = old.join(new, keys, "full_outer")
+    held = lambda df, side: df.select(*[F.struct(F.col(k)).alias(f"_{side}_{k}") for k in keys], F.struct(*rest, F.lit(1).alias("_is")).alias(f"_{side}"))
+    both = held(current, "old").join(held(updates, "new"), reduce(lambda x, y: x & y, [F.col(f"_old_{k}.{k}").eqNullSafe(F.col(f"_new_{k}.{k}")) for k in keys]), "full_outer")
+    both = both.withColumns({k: F.when(F.col("_old").isNotNull(), F.col(f"_old_{k}.{k}")).otherwise(F.col(f"_new_{k}.{k}")) for k in keys})
     pick = {
         "replace": lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")),
         "keep": lambda c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}")),
