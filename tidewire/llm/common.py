@@ -1,51 +1,62 @@
-"""Shared helpers of the training-data operators: durable cuts of lineage, reading tables, skew-proof running sums."""
+"""Shared helpers of the training-data operators: reading tables, checked broadcasts, batches by bytes, skew-proof running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewire.lineage import cut, fresh_path
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "cut", "fresh_path", "join_checked", "narrow_enough", "row_bucket", "running_offset", "table", "text_slices", "unused"]
+
 #: ASCII white space of every contract of this package, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session, else (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewire-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Most bytes of a narrow table that are sent to every executor; above, tables are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def narrow_enough(df: DataFrame) -> bool:
+    """Whether a narrow table that has been cut is within the bound: counted rows times a row's width (variable ones count as 32)."""
+    width = sum({"long": 8, "double": 8, "integer": 4, "boolean": 1}.get(f.dataType.typeName(), 32) for f in df.schema)
+    return df.count() * width <= BROADCAST_BYTES
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def join_checked(df: DataFrame, narrow: DataFrame, on, how: str) -> DataFrame:
+    """Join with a narrow table that has been cut: by broadcast if its size is within the bound, else by sorting both."""
+    return df.join(F.broadcast(narrow) if narrow_enough(narrow) else narrow.hint("merge"), on, how)
 
 
-#: Most rows of a narrow table that are sent to every executor; above, tables are joined by shuffle.
-BROADCAST_ROWS = 500_000
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df (of any case) has them."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+        taken.add(name.lower())
+    return found
 
 
-def join_checked(df: DataFrame, narrow: DataFrame, on: Column, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a narrow table that has been cut: by broadcast if its counted rows are within the bound."""
-    return df.join(F.broadcast(narrow) if narrow.count() <= most else narrow.hint("merge"), on, how)
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts are about `most` bytes at most (a longer text stands alone)."""
+    for b in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for x, y in zip(cuts, cuts[1:]):
+            yield b.slice(x, y - x)
 
 
 def row_bucket(buckets: int, *cols: Column) -> Column:

@@ -35,9 +35,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def _signature(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: then v is the smallest node of each component."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("c"), F.lit(1).alias("r")))
+    return ends.groupBy("x").agg(F.sum("c").alias("c"), F.max("r").alias("r")).where("c > 1 or c = 1 and r = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,8 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(clean.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(_forest, "u long, v long").distinct(), "cc-start")
-    last = _signature(e)
-    while last[0]:
+    while not _are_stars(e):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("u", "_m").alias("_m")), "cc-least")
         large = both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
@@ -57,8 +57,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(large.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), "_m"), "cc-least")
         small = large.join(least, F.col("u") == F.col("_u")).where("v != _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         e = cut(small.unionByName(least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct(), "cc-small")
-        now = _signature(e)
-        if now == last:
-            break
-        last = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
