@@ -1,10 +1,11 @@
 """Hierarchical weighted hash tree: rows descend region, rack and shard levels by weighted hash draws.
 
-Every shard draws an exponential variable -ln(u)/weight for a row, u being a hash of (key, shard); a rack's draw is the
-smallest of its shards', a region's the smallest of its racks', so a subtree's draw is exponential with the subtree's
-total weight. A row goes to the region with the smallest draw, there to the rack, there to the shard. When a weight
-changes, only draws on the path to that shard change, so rows move into or out of that subtree and nowhere else; a
-shard that is added takes rows only into itself.
+At each level every child of the node chosen before draws an exponential variable -ln(u)/weight for a row, u being a hash
+of (key, the child's name) and weight the sum of the weights below the child; the smallest draw wins. Levels draw
+independently. A changed weight changes draws only on the path from the root to it, so rows move only into or out of the
+subtrees on that path: into or out of that region, within the region only to or from that rack, within the rack only to or
+from that shard. Nodes are named by their numbers on the path, so a tree that grows keeps the names that it has; a shard
+that is added as a region of its own takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import row_bucket, running_offset
+from tidewire.llm.common import row_bucket, running_offset, unused
 
 #: A tree is a list of regions, a region a list of racks, a rack a list of (shard number, weight).
 Tree = list[list[list[tuple[int, float]]]]
@@ -21,67 +22,60 @@ DIGITS, PER_DIGEST = 13, 4
 
 
 def regular_tree(shards: int, per_rack: int = 4, racks_per_region: int = 4, weight: float = 1.0) -> Tree:
-    """Shards 0.. dealt in order into racks and regions; a tree with more shards has the smaller one as its beginning."""
+    """Shards 0.. dealt in order into racks and regions."""
     racks = [[(s, weight) for s in range(i, min(i + per_rack, shards))] for i in range(0, shards, per_rack)]
     return [racks[i : i + racks_per_region] for i in range(0, len(racks), racks_per_region)]
 
 
-def _draws(key: Column, shards: list[tuple[int, float]]) -> Column:
-    """array of the draws of shards, in the given order; PER_DIGEST neighbours by number share one digest."""
-    text = F.coalesce(key.cast("string"), F.lit(""))
-    out = []
-    for s, w in shards:
-        digest = F.sha2(F.concat(text, F.lit(f":{s // PER_DIGEST}")), 256)
-        u = F.conv(F.substring(digest, 1 + DIGITS * (s % PER_DIGEST), DIGITS), 16, 10).cast("long")
-        out.append(-F.log((u + F.lit(0.5)) / F.lit(float(16**DIGITS))) / F.lit(float(w)))
-    return F.array(*out)
+def grown(tree: Tree, weight: float = 1.0) -> Tree:
+    """The tree with one more shard, numbered on, in a region of its own."""
+    return [*tree, [[(1 + max((s for region in tree for rack in region for s, _ in rack), default=-1), weight)]]]
 
 
-def _spans(sizes: list[int]) -> list[tuple[int, int]]:
-    """(first position from 1, length) of neighbours with these sizes."""
-    return [(1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+def _draw(key: Column, parent: Column, child: int, weight: Column) -> Column:
+    """The draw of a parent's child with this number; PER_DIGEST neighbours share one digest. No weight: never the smallest."""
+    digest = F.sha2(F.concat(key, F.lit(":"), parent, F.lit(f":{child // PER_DIGEST}")), 256)
+    u = F.conv(F.substring(digest, 1 + DIGITS * (child % PER_DIGEST), DIGITS), 16, 10).cast("long")
+    return F.when(weight > 0, -F.log((u + F.lit(0.5)) / F.lit(float(16**DIGITS))) / weight)
 
 
-def _numbers(values: list[int], at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), at)
-
-
-def _descend(df: DataFrame, draws: str, tree: Tree, out: str) -> DataFrame:
-    """Two arrays of subtree draws, then three choices, each among the children of the node chosen before."""
-    racks = [rack for region in tree for rack in region]
-    rack_spans, region_spans = _spans([len(r) for r in racks]), _spans([len(r) for r in tree])
-    df = df.withColumn("_rack", F.array(*[F.array_min(F.slice(draws, a, n)) for a, n in rack_spans]))
-    df = df.withColumn("_region", F.array(*[F.array_min(F.slice("_rack", a, n)) for a, n in region_spans]))
-    df = df.withColumn("_i", F.array_position("_region", F.array_min("_region")).cast("int"))
-    df = df.withColumn("_first", _numbers([a for a, _ in region_spans], F.col("_i")))
-    df = df.withColumn("_own", F.slice("_rack", F.col("_first"), _numbers([n for _, n in region_spans], F.col("_i"))))
-    df = df.withColumn("_i", F.col("_first") - 1 + F.array_position("_own", F.array_min("_own")).cast("int"))
-    df = df.withColumn("_first", _numbers([a for a, _ in rack_spans], F.col("_i")))
-    df = df.withColumn("_own", F.slice(draws, F.col("_first"), _numbers([n for _, n in rack_spans], F.col("_i"))))
-    df = df.withColumn("_i", F.col("_first") - 1 + F.array_position("_own", F.array_min("_own")).cast("int"))
-    return df.withColumn(out, _numbers([s for rack in racks for s, _ in rack], F.col("_i"))).drop("_rack", "_region", "_i", "_first", "_own")
+def _choice(df: DataFrame, key: Column, parent: Column, at: Column, weights: list[list[float]], out: str) -> DataFrame:
+    """Add `out`: the child that is chosen, `at` being the parent's place in weights (a list of child weights a parent)."""
+    most = max(len(w) for w in weights)
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in [*w, *[0.0] * (most - len(w))]]) for w in weights])
+    own = F.element_at(table, at + 1)
+    draws = [F.struct(_draw(key, parent, c, F.element_at(own, c + 1)).alias("d"), F.lit(c).alias("c")) for c in range(most)]
+    least = F.array_min(F.filter(F.array(*draws), lambda s: s["d"].isNotNull()))
+    return df.withColumn(out, least["c"])
 
 
 def place(df: DataFrame, key: str, trees: dict[str, Tree]) -> DataFrame:
     """Add one int column per named tree: the shard of the row. Rows with equal keys go together; a null key counts as ''."""
-    shared: dict[tuple, str] = {}
-    for name, tree in sorted(trees.items(), key=lambda x: -sum(len(rack) for region in x[1] for rack in region)):
-        leaves = tuple(x for region in tree for rack in region for x in rack)
-        draws = next((col for own, col in shared.items() if own[: len(leaves)] == leaves), None)
-        if draws is None:
-            draws = shared[leaves] = f"_draws{len(shared)}"
-            df = df.withColumn(draws, _draws(F.col(key), list(leaves)))
-        df = _descend(df, draws, tree, name)
-    return df.drop(*shared.values())
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    for name, tree in trees.items():
+        region, rack, shard = unused(df, "_region", "_rack", "_shard")
+        sizes = [[sum(w for _, w in r) for r in reg] for reg in tree]
+        first_rack = [sum(len(r) for r in tree[:i]) for i in range(len(tree))]
+        racks = [r for reg in tree for r in reg]
+        first_shard = [sum(len(r) for r in racks[:i]) for i in range(len(racks))]
+        numbers = F.array(*[F.lit(s) for r in racks for s, _ in r])
+        look = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+        df = _choice(df, text, F.lit("root"), F.lit(0), [[sum(s) for s in sizes]], region)
+        df = _choice(df, text, F.col(region).cast("string"), F.col(region), sizes, rack)
+        path = F.concat_ws(".", F.col(region).cast("string"), F.col(rack).cast("string"))
+        at = look(first_rack, F.col(region)) + F.col(rack)
+        df = _choice(df, text, path, at, [[w for _, w in r] for r in racks], shard)
+        df = df.withColumn(name, F.element_at(numbers, look(first_shard, at) + F.col(shard) + 1)).drop(region, rack, shard)
+    return df
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, buckets: int = 256) -> DataFrame:
     """Place documents (doc_id, text) by the law `key` into `shards` shards of a regular tree, and number the rows of each.
 
     Returns doc_id, size (UTF-8 bytes + 16; a null text has none), text_crc32 (null counts as empty), law, shard, slot
-    (gapless from 0 within a shard, in the order (bucket, doc_id)), grown_shard (the shard if there were one more).
-    Null doc_ids count as one key. Repeated rows get slots of their own. An empty table gives an empty result; other
-    columns are ignored.
+    (gapless from 0 within a shard, in the order (bucket, doc_id)), grown_shard (the shard if there were one more, in a
+    region of its own). Null doc_ids count as one key. Repeated rows get slots of their own. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = docs.select(
         "doc_id",
@@ -89,7 +83,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, buckets: int = 256) -> Da
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit(1).cast("long").alias("_one"),
     )
-    placed = place(rows, "doc_id", {"shard": regular_tree(shards), "grown_shard": regular_tree(shards + 1)})
+    tree = regular_tree(shards)
+    placed = place(rows, "doc_id", {"shard": tree, "grown_shard": grown(tree)})
     placed = placed.withColumn("_bucket", row_bucket(buckets, F.col("doc_id"), F.col("size"), F.col("text_crc32")))
     numbered = running_offset(placed, "shard", "_bucket", ["doc_id", "size", "text_crc32"], "_one", "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
