@@ -3,9 +3,11 @@
 A block is a window of 2 n words, n being the words of the template, and starts at any word. A block matches when it
 holds at least `threshold` of the template's distinct words. The window slides over the places of template words with
 running counts of distinct words; a window that starts elsewhere holds no more than the one at the next such place.
-Words are ordered by their document frequency over all documents, rarest first. Three filters, none of which can lose a
-match: prefix (a match must hold one of the template's rarest n - need + 1 words), length (a document with fewer distinct
-words than needed cannot match) and positional (from the first shared word on, what both sets still have must suffice).
+Words are ordered by their document frequency over all documents, rarest first. Documents and templates are joined by an
+index from prefix words to templates: a match must hold one of the template's rarest n - need + 1 words, so a template is
+looked at only where one of them stands. Two more filters, neither of which can lose a match: length (a document with
+fewer distinct words than needed cannot match) and positional (from the first shared word on, what both sets still have
+must suffice).
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import text_slices
+
 # Phrases that count as they stand, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Notices of common licenses, (label, text).
@@ -47,7 +51,7 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, counts = set(vocabulary), dict.fromkeys(vocabulary, 0)
-        for b in batches:
+        for b in text_slices(batches):
             for text in b.column(0).to_pylist():
                 for w in wanted.intersection(words_of(text)):
                     counts[w] += 1
@@ -62,7 +66,7 @@ class Template:
 
     def __init__(self, label: str, text: str, frequency: dict[bytes, int], threshold: float):
         words = words_of(text)
-        self.label, self.stride = label, len(words)
+        self.label, self.length = label, len(words)
         self.order = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(self.order)}
         n = len(self.order)
@@ -71,8 +75,6 @@ class Template:
 
     def _places(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int]]:
         """(place, rank) of every template word, or nothing if the filters rule the document out."""
-        if self.prefix.isdisjoint(present):
-            return []
         shared = [r for r in range(len(self.order)) if self.order[r] in present]
         if len(shared) < self.need or len(self.order) - shared[0] < self.need:
             return []
@@ -82,7 +84,7 @@ class Template:
         """(start, distinct template words) of the matching windows among those at the ascending starts."""
         held, distinct, first, last = [0] * len(self.order), 0, 0, 0
         for a in starts:
-            while last < len(at) and at[last][0] < a + 2 * self.stride:
+            while last < len(at) and at[last][0] < a + 2 * self.length:
                 r = at[last][1]
                 distinct += not held[r]
                 held[r] += 1
@@ -95,18 +97,12 @@ class Template:
             if distinct >= self.need:
                 yield a, distinct
 
-    def matches(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int, float]]:
-        """(first word, end, containment) of the matching blocks at a stride of n only; present: the document's distinct words."""
-        at = self._places(words, present)
-        found = self._windows(at, range(0, len(words), self.stride)) if at else ()
-        return [(a, min(len(words), a + 2 * self.stride), k / len(self.order)) for a, k in found]
-
     def passages(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int, float]]:
         """(first word, end, largest containment) of all matching blocks, those that overlap joined into one."""
         at = self._places(words, present)
         found: list[tuple[int, int, float]] = []
         for a, k in self._windows(at, (i for i, _ in at)):
-            end, share = min(len(words), a + 2 * self.stride), k / len(self.order)
+            end, share = min(len(words), a + 2 * self.length), k / len(self.order)
             if found and a < found[-1][1]:
                 first, _, best = found.pop()
                 found.append((first, end, max(best, share)))
@@ -115,6 +111,21 @@ class Template:
         return found
 
 
+class Index:
+    """Templates by their prefix words."""
+
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+        self.templates = [Template(label, text, frequency, threshold) for label, text in templates]
+        self.by_word: dict[bytes, list[int]] = {}
+        for i, t in enumerate(self.templates):
+            for w in t.prefix:
+                self.by_word.setdefault(w, []).append(i)
+
+    def candidates(self, present: set[bytes]) -> list[Template]:
+        """The templates of which a prefix word is among a document's distinct words."""
+        return [self.templates[i] for i in sorted({i for w in self.by_word.keys() & present for i in self.by_word[w]})]
+
+
 def phrase_places(words: list[bytes], present: set[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand one after another."""
     found = []
@@ -149,18 +160,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     frequency = document_frequencies(docs, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Template(label, t, frequency, threshold) for label, t in templates]
+        index = Index(templates, frequency, threshold)
         listed = [(words_of(p), label) for p, label in phrases.items()]
         place_type = pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string())]))
         block_type = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
-        for b in batches:
+        for b in text_slices(batches):
             counts, places, blocks = [], [], []
             for text in b.column("text").to_pylist():
                 words = words_of(text)
                 present = set(words)
                 counts.append(len(words))
                 places.append([{"start": i, "label": x} for i, x in phrase_places(words, present, listed)])
-                blocks.append([{"label": t.label, "first": a, "end": e, "containment": c} for t in known for a, e, c in t.passages(words, present)])
+                blocks.append([{"label": t.label, "first": a, "end": e, "containment": c} for t in index.candidates(present) for a, e, c in t.passages(words, present)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], ["doc_id", "n_words", "places", "blocks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
