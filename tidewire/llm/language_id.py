@@ -2,7 +2,8 @@
 
 Texts are UTF-8 bytes, cut into windows of a fixed length that are run side by side. In each window a forward and a
 backward recurrence read the bytes, every position gets language probabilities from the two states that meet there, and
-a document's probabilities are the mean over its positions that hold letters. Trained in numpy by backpropagation
+a document's probabilities are the mean over its positions that hold letters. Each recurrence starts some bytes before
+the window that it reads, so a position never meets a state that knows nothing. Trained in numpy by backpropagation
 through time on the driver, from a bounded sample; run in numpy over Arrow batches, every byte of every text.
 """
 
@@ -17,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import text_slices
+
 #: Bounds of the training sample: documents, shared evenly by the languages (one of each at least), and characters of each, at a place that its hash chooses.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 300
 #: Leading bits of the hashes whose values are counted.
@@ -52,6 +55,48 @@ def _gate_slope(g: np.ndarray) -> np.ndarray:
     return 2 * np.minimum(g, 1 - g) ** 2
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the letters of x (T, B), windows of languages y (B), and its gradient by every parameter."""
+    (window, batch), h = x.shape, p["recur"].shape[1]
+    dirs = np.arange(2)[:, None]
+    both = np.stack([x, x[::-1]], axis=1)  # (T, 2, B)
+    hs = np.zeros((window + 1, 2, batch, h), p["recur"].dtype)
+    kept = []
+    for t in range(window):
+        e, a = p["embed"][dirs, both[t]], hs[t] @ p["recur"]
+        r, z = _gate(e[..., :h] + a[..., :h]), _gate(e[..., h : 2 * h] + a[..., h : 2 * h])
+        n = _squash(e[..., 2 * h :] + r * a[..., 2 * h :])
+        hs[t + 1] = n + z * (hs[t] - n)
+        kept.append((r, z, n, a[..., 2 * h :]))
+    forward, backward = hs[1:, 0], hs[1:, 1][::-1]
+    logits = forward @ p["out"][0] + backward @ p["out"][1] + p["bias"]
+    prob = np.exp(logits - logits.max(-1, keepdims=True))
+    prob /= prob.sum(-1, keepdims=True)
+    weight = _MASK[x]
+    weight = weight / max(1.0, weight.sum())
+    loss = -float((np.log(prob[:, np.arange(batch), y] + 1e-30) * weight).sum())
+    prob[:, np.arange(batch), y] -= 1
+    d_logits = prob * weight[..., None]
+    grad = {"bias": d_logits.sum((0, 1)), "out": np.stack([np.einsum("tbh,tbc->hc", s, d_logits) for s in (forward, backward)])}
+    d_states = np.stack([d_logits @ p["out"][0].T, (d_logits @ p["out"][1].T)[::-1]], axis=1)
+    d_h, d_embed, d_recur = np.zeros_like(hs[0]), [], np.zeros_like(p["recur"])
+    for t in reversed(range(window)):
+        r, z, n, a_n = kept[t]
+        d_h = d_h + d_states[t]
+        d_n = d_h * (1 - z) * (1 - np.abs(n)) ** 2
+        d_z = d_h * (hs[t] - n) * _gate_slope(z)
+        d_r = d_n * a_n * _gate_slope(r)
+        d_a = np.concatenate([d_r, d_z, d_n * r], -1)
+        d_embed.append(np.concatenate([d_r, d_z, d_n], -1))
+        d_recur += hs[t].transpose(0, 2, 1) @ d_a
+        d_h = d_h * z + d_a @ p["recur"].transpose(0, 2, 1)
+    flat = np.stack(d_embed[::-1])  # (T, 2, B, 3H)
+    at = (both.astype(np.int64) + 256 * np.arange(2)[None, :, None])[..., None] * (3 * h) + np.arange(3 * h)
+    grad["embed"] = np.bincount(at.ravel(), flat.ravel(), 512 * 3 * h).reshape(2, 256, 3 * h)
+    grad["recur"] = d_recur
+    return loss, grad
+
+
 def train(texts: list[str], labels: list[str], hidden: int = 8, window: int = 48, batch: int = 192, steps: int = 350, rate: float = 0.02, seed: int = 5) -> Model:
     """Fit by Adam on windows of the texts; languages are drawn evenly, so a rare one is learned as well as a common one."""
     rng = np.random.default_rng(seed)
@@ -70,7 +115,6 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, window: int = 48
     if c < 2 or not by_language:
         return model
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    dirs = np.arange(2)[:, None]
     for step in range(1, steps + 1):
         x, y = np.zeros((window, batch), np.uint8), np.zeros(batch, np.int64)
         for j in range(batch):
@@ -79,39 +123,7 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, window: int = 48
             a = int(rng.integers(max(1, len(t) - window + 1)))
             part = np.frombuffer(t[a : a + window], np.uint8)
             x[: len(part), j] = part
-        both = np.stack([x, x[::-1]], axis=1)  # (T, 2, B)
-        hs = np.zeros((window + 1, 2, batch, h), np.float32)
-        kept = []
-        for t in range(window):
-            e, a = p["embed"][dirs, both[t]], hs[t] @ p["recur"]
-            r, z = _gate(e[..., :h] + a[..., :h]), _gate(e[..., h : 2 * h] + a[..., h : 2 * h])
-            n = _squash(e[..., 2 * h :] + r * a[..., 2 * h :])
-            hs[t + 1] = n + z * (hs[t] - n)
-            kept.append((r, z, n, a[..., 2 * h :]))
-        forward, backward = hs[1:, 0], hs[1:, 1][::-1]
-        logits = forward @ p["out"][0] + backward @ p["out"][1] + p["bias"]
-        prob = np.exp(logits - logits.max(-1, keepdims=True))
-        prob /= prob.sum(-1, keepdims=True)
-        weight = _MASK[x]
-        prob[:, np.arange(batch), y] -= 1
-        d_logits = prob * (weight / max(1.0, weight.sum()))[..., None]
-        grad = {"bias": d_logits.sum((0, 1)), "out": np.stack([np.einsum("tbh,tbc->hc", s, d_logits) for s in (forward, backward)])}
-        d_states = np.stack([d_logits @ p["out"][0].T, (d_logits @ p["out"][1].T)[::-1]], axis=1)
-        d_h, d_embed, d_recur = np.zeros((2, batch, h), np.float32), [], np.zeros_like(p["recur"])
-        for t in reversed(range(window)):
-            r, z, n, a_n = kept[t]
-            d_h = d_h + d_states[t]
-            d_n = d_h * (1 - z) * (1 - np.abs(n)) ** 2
-            d_z = d_h * (hs[t] - n) * _gate_slope(z)
-            d_r = d_n * a_n * _gate_slope(r)
-            d_a = np.concatenate([d_r, d_z, d_n * r], -1)
-            d_embed.append(np.concatenate([d_r, d_z, d_n], -1))
-            d_recur += hs[t].transpose(0, 2, 1) @ d_a
-            d_h = d_h * z + d_a @ p["recur"].transpose(0, 2, 1)
-        flat = np.stack(d_embed[::-1])  # (T, 2, B, 3H)
-        at = (both.astype(np.int64) + 256 * np.arange(2)[None, :, None])[..., None] * (3 * h) + np.arange(3 * h)
-        grad["embed"] = np.bincount(at.ravel(), flat.ravel(), 512 * 3 * h).reshape(2, 256, 3 * h)
-        grad["recur"] = d_recur
+        _, grad = gradients(p, x, y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         lr = rate * min(1.0, 3 * (1 - step / (steps + 1)))
         for k, g in grad.items():
@@ -123,16 +135,20 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, window: int = 48
 
 
 class Scorer:
-    """Runs a model over many windows at once, a feature to a row of contiguous values."""
+    """Runs a model over many windows at once, a feature to a row of contiguous values.
 
-    def __init__(self, model: Model, window: int = 96, block: int = 2048):
-        self.model, self.window, self.block = model, window, block
+    A window is read with `margin` bytes more on either side, which only bring the state up; before and after a text the
+    state stays zero.
+    """
+
+    def __init__(self, model: Model, window: int = 96, block: int = 2048, margin: int = 16):
+        self.model, self.window, self.block, self.margin = model, window, block, margin
         self.h = model.recur.shape[1]
         self.embed = np.ascontiguousarray(model.embed.transpose(0, 2, 1))
         self.recur = np.ascontiguousarray(model.recur.transpose(0, 2, 1))
 
     def _states(self, x: np.ndarray, d: int) -> np.ndarray:
-        """x (T, B) in reading order -> states (T, H, B)."""
+        """x (margin + T, B) in reading order -> states (T, H, B)."""
         h, (steps, n) = self.h, x.shape
         out, e, a, size = np.empty((steps, h, n), np.float32), *(np.empty((3 * h, n), np.float32) for _ in range(3))
         state = np.zeros((h, n), np.float32)
@@ -156,18 +172,20 @@ class Scorer:
             np.subtract(state, cand, out=nxt)
             nxt *= gates[h:]
             nxt += cand
+            if t < self.margin:
+                nxt *= x[t] != 0
             state = nxt
-        return out
+        return out[self.margin :]
 
     def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x (N, window) bytes -> sums of probabilities over letters (N, C), letters (N)."""
-        c = len(self.model.languages)
-        sums, letters = np.zeros((len(x), c)), _MASK[x].sum(1)
+        """x (N, margin + window + margin) bytes -> sums of probabilities over letters of the windows (N, C), letters (N)."""
+        c, m = len(self.model.languages), self.margin
+        sums, letters = np.zeros((len(x), c)), _MASK[x[:, m : m + self.window]].sum(1)
         for a in range(0, len(x), self.block):
-            part = np.ascontiguousarray(x[a : a + self.block].T)
-            at = part.astype(np.intp)
-            logits = np.matmul(self.model.out[0].T, self._states(at, 0))
-            logits += np.matmul(self.model.out[1].T, self._states(at[::-1], 1))[::-1]
+            whole = np.ascontiguousarray(x[a : a + self.block].T)
+            at, part = whole.astype(np.intp), whole[m : m + self.window]
+            logits = np.matmul(self.model.out[0].T, self._states(at[: m + self.window], 0))
+            logits += np.matmul(self.model.out[1].T, self._states(at[m:][::-1], 1))[::-1]
             logits += self.model.bias[:, None]
             logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
@@ -183,10 +201,12 @@ class Scorer:
         data = [texts[i].encode() for i in own]
         counts = np.array([-(-len(b) // self.window) for b in data])
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        x = np.zeros((int(counts.sum()), self.window), np.uint8)
-        flat = x.reshape(-1)
-        for b, s in zip(data, starts):
-            flat[s * self.window : s * self.window + len(b)] = np.frombuffer(b, np.uint8)
+        m, w = self.margin, self.window
+        x = np.zeros((int(counts.sum()), w + 2 * m), np.uint8)
+        for b, s, n in zip(data, starts, counts):
+            padded = np.zeros(n * w + 2 * m, np.uint8)
+            padded[m : m + len(b)] = np.frombuffer(b, np.uint8)
+            x[s : s + n] = np.lib.stride_tricks.sliding_window_view(padded, w + 2 * m)[::w]
         sums, letters = self.windows(x)
         pooled = np.add.reduceat(sums, starts, axis=0) / np.maximum(1.0, np.add.reduceat(letters, starts))[:, None]
         best = pooled.argmax(1)
@@ -255,20 +275,24 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in text_slices(batches, most=1 << 20):
             found = scorer.score(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.4, model: Model | None = None) -> DataFrame:
-    """The documents in a language that was learned, with their own columns: `und` and scores below `least` go."""
+def accepted(docs: DataFrame, least: float = 0.0, model: Model | None = None) -> DataFrame:
+    """The documents in a language that was learned, with their own columns: `und` and scores below `least` go.
+
+    Null and empty texts and texts without a letter go; with nothing to learn from, all do. A null doc_id or lang is no
+    reason to go. Repeated rows stay repeated; an empty table gives an empty result.
+    """
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in text_slices(batches, most=1 << 20):
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in scorer.score(b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
