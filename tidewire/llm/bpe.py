@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import models
 
-#: Distinct pieces that a worker keeps between batches; beyond it, it starts afresh (results don't depend on it).
-KEPT_PIECES = 500_000
+from tidewire.llm.common import text_slices
+
+#: Characters of distinct pieces that a worker keeps between batches; beyond it, it starts afresh (results don't depend on it).
+KEPT_CHARS = 8_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -98,19 +99,22 @@ class ByteBpe:
         self.token_length = lengths
         self.token_start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.token_bytes = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        self.kept = 0
         self.ids_of = _Pieces(self._encode_piece)
         self.text_of = _Pieces(lambda piece: ",".join(map(str, np.frombuffer(self.ids_of[piece], np.int32).tolist())))
 
     def _encode_piece(self, piece: str) -> bytes:
         """int32 ids of a piece, whose UTF-8 bytes go to the library as characters of the byte alphabet."""
+        self.kept += len(piece) + 16
         written = piece.encode().decode("latin-1").translate(self.letters)
         return array("i", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern."""
-        if len(self.ids_of) > KEPT_PIECES:
+        if self.kept > KEPT_CHARS:
             self.ids_of.clear()
             self.text_of.clear()
+            self.kept = 0
         return (self.narrow if text.isascii() or max(text) < "\u0100" else self.pattern).findall(text)
 
     def encode(self, text: str) -> np.ndarray:
@@ -152,16 +156,6 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return _worker[path, pattern]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts are about `most` bytes at most (a longer text stands alone)."""
-    for b in batches:
-        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
-        part = np.cumsum(size) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
-        for x, y in zip(cuts, cuts[1:]):
-            yield b.slice(x, y - x)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """documents (doc_id, text) -> doc_id, ids (array of int), starts, ends (characters); null texts count as empty.
 
@@ -170,7 +164,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
-        for b in _slices(batches, "text"):
+        for b in text_slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             spans = [own.offsets(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +202,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
-        for b in _slices(batches, "text"):
+        for b in text_slices(batches):
             ids, ids_sha, text_sha = zip(*[own.digest(t or "") for t in b.column("text").to_pylist()])
             made = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

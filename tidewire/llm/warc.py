@@ -18,12 +18,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, fresh_path
+from tidewire.llm.common import cut, fresh_path, join_checked, text_slices
 
 #: Payloads from this length on are stored once; equal ones become revisits.
 REVISIT_BYTES = 1000
-#: Most digests of repeated payloads that are sent to every executor; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Date of the records, as the table has none.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -84,15 +82,13 @@ def write_archives(pages: DataFrame, path: str | None = None, level: int = 1) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     large = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
     repeated = cut(large.where("_n > 1 and _last is not null").select(F.col("payload_digest").alias("_digest"), "_last"), "warc-repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    joined = rows.join(repeated, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
+    joined = join_checked(rows, repeated, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
     revisits = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     records = joined.select("page_id", "url", F.when(~revisits, F.col("html")).alias("html"), "payload_digest", "payload_bytes", F.when(revisits, F.col("_last")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for b in batches:
+        for b in text_slices(batches, "html"):
             if out is None:
                 store, base = fs.FileSystem.from_uri(path)
                 store.create_dir(base, recursive=True)
