@@ -1,7 +1,8 @@
 """Corpus pipeline: documents in, encoded training documents out.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, extra ones included, whatever their names. Null doc_ids
+and sources are documents like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ from tidewire.llm.common import cut, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no learned language with some confidence, go."""
+    """Documents without a letter go, null texts among them; all others are in the learned language that suits them best."""
     return language_id.accepted(docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays, once; a null doc_id stays only if all rows of its text have none."""
     return exact_dedup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
+    """Of documents joined by links (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays; null doc_ids all stay."""
     return ngram_join.one_of_each(docs)
 
 
@@ -34,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids; a row per row, null texts count as empty."""
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row, from the table documents; what encode() returns for the documents that remain."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
