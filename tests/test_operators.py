@@ -542,3 +542,39 @@ def test_connected_follows_long_paths(spark):
     nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "ref STRING")
     got = {r["node"]: r["component"] for r in clusters.connected(nodes, spark.createDataFrame(edges, "left_ref STRING, right_ref STRING")).collect()}
     assert got == {x: min(path) for x in path} | {x: min(ring) for x in ring} | {"alone": "alone"}
+
+
+def test_versions_are_checked_and_fail_alone():
+    for wrong in ({"window_hours": 12}, {"threshold": 0.6}, {"search_mode": "APPROXIMATE"}):
+        with pytest.raises(ValueError):
+            inputs.ClusteringVersion(**({"id": 1, "version_key": "v", "window_hours": 24} | wrong)).validate()
+    seen = []
+
+    def work(v):
+        seen.append(v.version_key)
+        if v.window_hours == 24:
+            raise RuntimeError("no " + "x" * 5000)
+
+    odd = inputs.ClusteringVersion(9, "odd", 12)
+    out = snapshots.each_version([odd, *inputs.VERSIONS], work)
+    assert seen == [v.version_key for v in inputs.VERSIONS] and out["shadow-48h"] == out["shadow-72h"] == "COMPLETED"
+    assert out["odd"].startswith("FAILED: odd") and out["shadow-24h"].startswith("FAILED: no x") and len(out["shadow-24h"]) == 4000
+
+
+def test_late_signals_lower_first_seen_and_are_past_a_watermark(spark):
+    articles = spark.createDataFrame([(7, "https://example.org/a", hashlib.sha256(b"https://example.org/a").hexdigest(), "example.org", BASE, BASE, BASE)], schemas.ARTICLES)
+    late = spark.createDataFrame([("GKG", 1, BASE - timedelta(hours=60), "https://example.org/a", None)], "signal_type STRING, source_id BIGINT, source_timestamp TIMESTAMP, raw_url STRING, article_id BIGINT")
+    out = extraction.extract(late, articles, now())["articles"].collect()
+    assert [(r["id"], r["first_seen_at"], r["created_at"]) for r in out] == [(7, BASE - timedelta(hours=60), BASE)]
+    rows = spark.createDataFrame([(BASE,), (BASE + timedelta(hours=1),)], "ts TIMESTAMP")
+    assert tumbling.late_rows(rows, F.col("ts"), F.lit(BASE).cast("timestamp")).count() == 1
+
+
+def test_jobs_poll_a_stream(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "in"))
+    done = []
+    stream = tumbling.stream_files(spark, str(tmp_path / "in"), "id BIGINT", 2)
+    tumbling.run_available(stream, lambda b, n: done.append(b.count()), str(tmp_path / "cp")).awaitTermination()
+    assert sum(done) == 6
+    counts = iter([3, 2, 0, 5])
+    assert tumbling.drained(lambda: next(counts)) == 5
