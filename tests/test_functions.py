@@ -82,7 +82,11 @@ def test_lenient_times_and_casts(spark):
     assert one(spark, tsv.lenient_timestamp(F.col("v")), v="20260230101112") == datetime(2026, 2, 28, 10, 11, 12)
     assert one(spark, tsv.lenient_timestamp(F.col("v")), v="20260232101112") is None
     assert one(spark, tsv.value(F.col("v"), "int"), v=" 5 ") is None
-    assert one(spark, tsv.value(F.col("v"), "double"), v=" 1.5 ") == 1.5
+    doubles = {" 1.5 ": 1.5, "1d": 1.0, "2.5F": 2.5, "-.5e1": -5.0, "0x1.8p1": 3.0, "-0X.4P2d": -1.0, "0xffp0": 255.0, "Infinity": float("inf"), "1_0": None, "x": None, "0x1.8": None, "0xp1": None, "d": None}
+    for v, found in doubles.items():
+        assert one(spark, tsv.value(F.col("v"), "double"), v=v) == found, v
+    for v, good in {"20260705": True, "20260705Z": True, "20260705+0130": True, "20260705-180000": True, "20260705+1900": False, "20260705+01": False, "2026-07-05": False, "20260230": False}.items():
+        assert (one(spark, tsv.value(F.col("v"), "date"), v=v) is not None) == good, v
 
 
 def test_vectors(spark):

@@ -48,14 +48,27 @@ def lenient_timestamp(raw: Column) -> Column:
     return F.when(good, F.timestamp_micros(F.unix_micros(first) + (F.least(day, last) - 1).cast("long") * 86_400_000_000))
 
 
+def _double(c: Column) -> Column:
+    """Decimal and hexadecimal floating-point literals, with or without a type letter, NaN and Infinity."""
+    plain = F.regexp_replace(c, r"(?<=[0-9.])[dDfF]$", "")
+    hexed = r"^([+-]?)0[xX]([0-9a-fA-F]*)(?:\.([0-9a-fA-F]*))?[pP]([+-]?[0-9]+)[dDfF]?$"
+    sign, whole, part, power = (F.regexp_extract(c, hexed, i) for i in (1, 2, 3, 4))
+    digits = F.concat(whole, part)
+    # up to 13 hexadecimal digits are exact in a double; what comes after them is below its precision
+    size = F.conv(F.substring(F.concat(digits, F.repeat(F.lit("0"), 13)), 1, 13), 16, 10).cast("double") * F.pow(F.lit(16.0), F.length(whole) - 13)
+    found = F.when(sign == "-", -size).otherwise(size) * F.pow(F.lit(2.0), power.try_cast("int"))
+    return F.when(c.rlike(hexed), F.when(F.length(digits) > 0, found)).otherwise(plain.try_cast("double"))
+
+
 def value(raw: Column, kind: str) -> Column:
     """The typed value, or null if it isn't one."""
     if kind in ("long", "int"):
         return F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint" if kind == "long" else "int"))
     if kind == "double":
-        return control_trim(raw).try_cast("double")
-    if kind == "date":
-        return F.when(raw.rlike("^[0-9]{8}$"), F.to_date(F.try_to_timestamp(raw, F.lit("yyyyMMdd"))))
+        return _double(control_trim(raw))
+    if kind == "date":  # an offset after the day changes nothing
+        good = raw.rlike("^[0-9]{8}(Z|[+-](0[0-9]|1[0-7])([0-5][0-9]){1,2}|[+-]1800(00)?)?$")
+        return F.when(good, F.to_date(F.try_to_timestamp(F.substring(raw, 1, 8), F.lit("yyyyMMdd"))))
     return lenient_timestamp(raw) if kind == "timestamp" else raw
 
 
