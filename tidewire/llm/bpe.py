@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import models
 
-from tidewire.llm.common import text_slices
+from tidewire.llm.common import give_back, text_slices
 
 #: Characters of distinct pieces that a worker keeps between batches; beyond it, it starts afresh (results don't depend on it).
-KEPT_CHARS = 8_000_000
+KEPT_CHARS = 3_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -82,14 +82,13 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         letters = byte_alphabet()
         name = lambda token: token.decode("latin-1").translate("".join(letters))
-        merges = []
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                if token[:i] in ranks and token[i:] in ranks:
-                    merges.append((rank, ranks[token[:i]], ranks[token[i:]], token[:i], token[i:]))
-        merges.sort(key=lambda m: m[:3])
         names = {token: name(token) for token in ranks}
-        self.model = models.BPE(vocab={names[t]: r for t, r in ranks.items()}, merges=[(names[a], names[b]) for *_, a, b in merges], ignore_merges=True)
+        merges = []
+        for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
+            splits = [(ranks[token[:i]], ranks[token[i:]], i) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+            merges += [(names[token[:i]], names[token[i:]]) for _, _, i in sorted(splits)]
+        self.model = models.BPE(vocab={names[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
+        del merges, names
         self.letters = "".join(letters)
         self.pattern, self.narrow = regex.compile(pattern), latin1_pattern(pattern)
         size = max(ranks.values()) + 1
@@ -153,6 +152,7 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     """The encoder of this worker; built once for a file and pattern."""
     if (path, pattern) not in _worker:
         _worker[path, pattern] = ByteBpe(load_ranks(path), pattern)
+        give_back()
     return _worker[path, pattern]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidewire.lineage import cut, fresh_path
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "cut", "fresh_path", "join_checked", "narrow_enough", "row_bucket", "running_offset", "table", "text_slices", "unused"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "cut", "fresh_path", "give_back", "join_checked", "narrow_enough", "row_bucket", "running_offset", "table", "text_slices", "unused"]
 
 #: ASCII white space of every contract of this package, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -49,6 +51,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one stage has freed should not count in the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts are about `most` bytes at most (a longer text stands alone)."""
     for b in batches:
@@ -57,6 +69,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
         for x, y in zip(cuts, cuts[1:]):
             yield b.slice(x, y - x)
+    give_back()
 
 
 def row_bucket(buckets: int, *cols: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.llm.common import cut, join_checked, text_slices, unused
+from tidewire.llm.common import cut, give_back, join_checked, text_slices, unused
 from tidewire.llm.components import components
 
 WORDS, MINHASHES = 5, 6
@@ -197,6 +197,7 @@ def _explode(column: str, keep: list[str]):
                 number = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
                 rows = pa.array(np.repeat(np.arange(len(hashes)), counts))
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(number.astype(np.int32)), *[part.column(c).take(rows) for c in keep]], ["token", "slot", *keep])
+        give_back()
 
     return run
 
@@ -372,6 +373,8 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = t.slice(stop).combine_chunks().to_batches()
     if held:
         yield compare(pa.Table.from_batches(held).combine_chunks())
+    held.clear()
+    give_back()
 
 
 def tile_pairs(kept: DataFrame, moved: DataFrame) -> DataFrame:
