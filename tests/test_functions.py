@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import hashing, text, tsv, url, vectors
 from tidewire.operators import search
+from tidewire.queries import ORACLES, QUERIES
 
 
 def one(spark, column, **values):
@@ -64,6 +66,17 @@ def test_titles(spark):
         assert v.startswith(cut) and len(cut.encode("utf-16-le")) // 2 <= 1000 and (cut == v or len((cut + v[len(cut)]).encode("utf-16-le")) // 2 > 1000)
 
 
+def test_html_titles_say_what_their_sql_says(spark, tmp_path):
+    titles = ["R&amp;D", "cut off &amp", "a &quot;b&quot; &#65; &amp;quot;", "Ｎｅｗｓ ﬁ", "\u00a0 a\u00a0b \u3000", "x\u00a0\u2028", " a\t\n\fb\x0bc ", "&amp;amp;", "\u2003", "", "ß İ \U0001f600"]
+    pages = [(i, f"<html><TITLE>{t}</title><title>no</title></html>") for i, t in enumerate(titles)] + [(97, None), (98, "no title"), (99, "<title>open")]
+    spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in pages], "page_id LONG, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["title"]) for r in QUERIES["html_titles"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLES["html_titles"]).fetchall())
+    assert got[:2] == [(0, "R&D"), (1, "cut off &amp")] and len(got) == len(pages)
+
+
 def test_publication_times(spark):
     tag = "<PAGE_PRECISEPUBTIMESTAMP>{}</PAGE_PRECISEPUBTIMESTAMP>"
     at = datetime(2026, 7, 5, 12)

@@ -136,6 +136,12 @@ def title_input(title: Column, unescape: bool = True, plain: bool = False) -> Co
     return F.nullif(collapse(c), F.lit(""))
 
 
+def ampersand_title(title: Column) -> Column:
+    """The title with &amp; resolved, ASCII white space collapsed and spaces of any width off its ends; all else stays as it stands."""
+    spaced = F.regexp_replace(F.replace(title, F.lit("&amp;"), F.lit("&")), r"[\t\n\f\r ]+", " ")
+    return F.nullif(F.regexp_replace(spaced, r"^\p{Zs}+|\p{Zs}+\z", ""), F.lit(""))
+
+
 def title_usability(normalized: Column) -> Column:
     return F.when(normalized.isNull(), "TITLE_MISSING").when(F.lower(F.upper(normalized)).isin(*GENERIC_TITLES), "TITLE_GENERIC").otherwise("USABLE")
 
