@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -104,6 +106,22 @@ def test_bitmap_bound_never_hides_overlap():
         assert bound >= len(np.intersect1d(a, b))
 
 
+def test_shingles_are_counted_in_little_memory():
+    rng = random.Random(3)
+    texts = ["one two three four five"] * 400 + [" ".join(str(rng.random()) for _ in range(200)) for _ in range(400)]
+    slices = [texts[i : i + 40] for i in range(0, len(texts), 40)]
+    tracemalloc.start()
+    (out,) = ngram_join._tally(pa.RecordBatch.from_arrays([pa.array(x)], ["text"]) for x in slices)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 << 20
+    counts = np.zeros((ngram_join.SKETCH_PARTS, (1 << ngram_join.SKETCH_BITS) // ngram_join.SKETCH_PARTS), np.uint8)
+    for part, found in zip(*(c.to_pylist() for c in out.columns)):
+        counts[part] = np.frombuffer(found, np.uint8)
+    every = Counter(int(h) >> (64 - ngram_join.SKETCH_BITS) for x in slices for h in ngram_join._rolled([t.encode() for t in x])[1])
+    assert Counter({int(i): int(counts.reshape(-1)[i]) for i in np.flatnonzero(counts.reshape(-1))}) == Counter({k: min(n, 255) for k, n in every.items()})
+
+
 def test_ngram_join_with_a_large_family_and_a_passage_in_every_text(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FAMILY_ROWS", 64)
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 100)

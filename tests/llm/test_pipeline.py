@@ -84,3 +84,13 @@ def test_stages_on_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, SF)
         assert out.count() == 0 and (name == "byte_bpe" or out.columns == empty.columns)
+
+
+def test_every_stage_has_executors_collect_their_garbage(spark):
+    beans = list(spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([], "doc_id LONG, text STRING, lang STRING, source STRING")
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidewire.lineage import cut, fresh_path
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "cut", "fresh_path", "give_back", "join_checked", "narrow_enough", "row_bucket", "running_offset", "table", "text_slices", "unused"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "cut", "fresh_path", "give_back", "join_checked", "narrow_enough", "relieve", "row_bucket", "running_offset", "table", "text_slices", "unused"]
 
 #: ASCII white space of every contract of this package, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -61,6 +61,13 @@ def give_back() -> None:
         pass
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have each executor's JVM collect its garbage and so shrink its heap, which else stays as large as any stage before made it."""
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one of these
+    n = 2 * executors  # tasks go round the executors; a second call finds little to do
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts are about `most` bytes at most (a longer text stands alone)."""
     for b in batches:

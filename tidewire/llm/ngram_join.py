@@ -116,25 +116,17 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    for b in text_slices(batches, most=1 << 20):
+    for b in text_slices(batches, most=1 << 19):
         yield b, pc.cast(b.column("text"), pa.large_binary()).to_pylist()
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of a task, counted by the leading bits of their hashes (to 255 at most), a row for each part of the counters."""
-    counts, held = np.zeros(1 << SKETCH_BITS, np.uint32), []
-
-    def add() -> None:
-        if held:
-            counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-            held.clear()
-
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for _, texts in _texts(batches):
-        held.append((_rolled(texts)[1] >> _U(64 - SKETCH_BITS)).astype(np.int64))
-        if sum(map(len, held)) > len(counts):
-            add()
-    add()
-    parts = np.minimum(counts, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+        np.add.at(counts, (_rolled(texts)[1] >> _U(64 - SKETCH_BITS)).astype(np.int32), np.uint32(1))
+    parts = np.minimum(counts, 255, out=counts).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+    del counts
     used = np.flatnonzero(parts.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "counts"])
 
